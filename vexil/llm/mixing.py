@@ -47,23 +47,37 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     )
 
 
+def _copies(doc_id: Column, seed: str) -> Column:
+    """floor(rate) copies and one more by draw, for rows that have source_size and target."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return (F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def _with_targets(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows(source, ...) joined with the table of sources: broadcast only if its counted rows fit; else shuffled, and AQE splits a hot source."""
+    side = maybe_broadcast(per, per.count(), 200).withColumnRenamed("source", "_source")
+    return rows.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
 def plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): how often the mix takes each row of docs(doc_id, text, source).
 
-    Sizes are written once to the shared folder, so the text is read once. The table of sources is broadcast only if its counted rows fit; otherwise
-    the join is shuffled and AQE splits a hot source. A null text has size 0; null sources are one source, last; repeated doc_ids share a draw.
-    Sources of size 0 have rate 0. An empty table gives no rows.
+    Sizes are written once to the shared folder, so the text is read once. A null text has size 0; null sources are one source, last; repeated doc_ids share a
+    draw. Sources of size 0 have rate 0. An empty table gives no rows.
     """
     sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     per = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.alias("d").join(maybe_broadcast(per, per.count(), 200).alias("s"), F.expr("d.source <=> s.source"))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return _with_targets(sized, per).withColumn("copies", _copies(F.col("doc_id"), seed))
 
 
-def mix(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
-    """docs with each row as often as the plan takes it, and the copy's number (from 0) in `copy_no`; rows that it doesn't take are gone."""
-    takes = plan(docs, seed, **kw).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct()
-    out = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("_id", "copies")
+def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, number: str | None = "copy_no") -> DataFrame:
+    """docs with each row as often as the plan takes it, the copy's number (from 0) in column `number`; rows that it doesn't take are gone.
+
+    Rows are emitted where they are read: only sums per source are shuffled.
+    """
+    sums = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = stash(targets(sums, share, most, weights), "targets")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source")
+    taken = _with_targets(rows, per).withColumn("copies", _copies(F.col("row.doc_id"), seed)).filter("copies > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("no"))
+    return taken.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != number), *([F.col("no").alias(number)] if number else []))

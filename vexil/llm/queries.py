@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm import langid, linededup, minhash, mixing
+from vexil.llm import ann, langid, linededup, materialise, minhash, mixing, pieces, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("ids")
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.clean_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select(
@@ -34,6 +46,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -45,10 +61,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_materialise": op2_materialise,
+    "op3_ann": op3_ann,
     "op5_minhash": op5_minhash,
+    "op6_pieces": op6_pieces,
     "op7_linededup": op7_linededup,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_langid": op10_langid,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
