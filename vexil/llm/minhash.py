@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexil.llm.common import maybe_broadcast, mix64, shingle_sets, small_batches, stash
@@ -18,6 +18,10 @@ from vexil.llm.graph import components
 
 PERMS, BAND_ROWS = 80, 5
 BANDS = 2 * PERMS // BAND_ROWS
+#: Rounds of comparing with one head a bucket; different heads a group and round.
+ROUNDS, HEADS = 3, 4
+#: A shingle is rare if at most so many of the documents left have it. The bound holds for any number; a larger one leaves fewer pairs to confirm.
+RARE = 256
 _CHUNK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 2**64, PERMS, dtype=np.uint64)
@@ -86,12 +90,22 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _rare(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rep, rare): for each id those of its shingles that at most RARE of these documents have, as an array."""
+    some = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count(), 32), "doc_id", "left_semi")
+    sets = some.mapInPandas(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("s"))
+    sets = stash(sets, "shingles")
+    few = sets.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE).select("s")
+    return sets.join(few, "s").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("s").alias("rare"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text).
 
-    Equal sets become one representative, its least doc_id, before any pair is made, so copies cost no pairs. In each band bucket every representative is first
-    compared with the bucket's least only; what these links join is one component. Buckets that still hold several components are then compared across
-    components, so no link between components is lost and a large group of near copies, joined by the first step, makes no pairs of its own.
+    Equal sets become one representative, its least doc_id, before any pair is made, so copies cost no pairs. Then, in rounds, every representative in a band
+    bucket is compared with one head of the bucket, and what the links join is one component; the heads differ by round, and buckets that hold one component
+    only are done. So a large group of near copies is joined by a few comparisons a member. What is left is compared across the components of each bucket,
+    except pairs that can't reach the similarity even if all shingles agree but the rare ones that only one of the two has; so no link between components is lost.
 
     Texts that are null, empty or without words have n_shingles 0, stand alone and are kept. A null doc_id is linked with nothing: component_id null, kept true.
     Rows that share a doc_id are one document with several texts. An empty table gives no rows.
@@ -102,28 +116,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = made.filter("n_shingles > 0 and doc_id is not null")
     reps = stash(rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("d1", "d2", "r.*"), "reps")
     banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("size")).filter("size > 1")
-    members = stash(banded.join(heads, "key").select("key", "rep", "n", F.col("h.rep").alias("head"), F.col("h.n").alias("hn"), "size"), "buckets")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stash(banded.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "buckets")
 
-    def fits(x: str, y: str):
+    def fits(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    first = stash(members.filter((F.col("rep") != F.col("head")) & fits("n", "hn")).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stash(_confirm(first, docs, width, percent), "links")
-    joined = stash(components(links), "components")
-    held = members.filter("size > 2").join(joined, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-    held = stash(held.select("key", "rep", "n", "head", "comp"), "buckets")
-    open_keys = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rest = held.filter("rep != head").join(open_keys, "key", "left_semi")
-    x, y = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "comp"))) for s in "xy")
-    second = x.join(y, "key").filter((F.col("repx") < F.col("repy")) & (F.col("compx") != F.col("compy")) & fits("nx", "ny"))
-    second = second.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirm(stash(second, "pairs"), docs, width, percent)
+    def still_open(held: DataFrame) -> DataFrame:
+        keys = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        return stash(held.join(keys, "key", "left_semi").select("key", "rep", "n", "comp"), "buckets")
+
+    tried = links = None
+    for k in range(rounds):
+        # the first heads are the least ids, the same in all buckets of a group; later ones are drawn by a hash, a few a group
+        lot = F.xxhash64("rep", F.lit(k), F.pmod("key", F.lit(HEADS))) if k else F.col("rep")
+        heads = members.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "rep", "n", "comp")).alias("h"))
+        met = members.join(heads, "key").filter((F.col("comp") != F.col("h.comp")) & fits("n", "h.n"))
+        pairs = met.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
+        pairs = stash(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        found = stash(_confirm(pairs, docs, width, percent), "links")
+        tried, links = (tried.union(pairs), links.union(found)) if tried else (pairs, found)
+        joined = stash(components(links), "components")
+        members = members.drop("comp").join(joined, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
+        members = still_open(members)
+        if members.isEmpty():
+            break
+    ids = stash(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    rest = members.join(stash(_rare(ids, docs, width), "rare"), "rep", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
+    x, y = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "comp", "rare"))) for s in "xy")
+    both = F.size(F.array_intersect("rarex", "rarey"))
+    # a rare shingle that only one of them has isn't common to them
+    most = F.least(F.col("nx") - F.size("rarex"), F.col("ny") - F.size("rarey")) + both
+    reach = (100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))
+    last = x.join(y, "key").filter((F.col("repx") < F.col("repy")) & (F.col("compx") != F.col("compy")) & fits("nx", "ny") & reach)
+    last = last.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _confirm(stash(last, "pairs"), docs, width, percent)
     final = components(links.union(more))
     of_rep = reps.select("d1", "d2", F.col("doc_id").alias("rep")).join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = made.select("doc_id", "n_shingles", "d1", "d2").join(of_rep, ["d1", "d2"], "left")
-    alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | alone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id")).withColumn(
+    alone_ = F.col("n_shingles") == 0
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | alone_, F.col("doc_id")).otherwise(F.col("c")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
