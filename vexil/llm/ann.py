@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from vexil.llm.common import stash
 
-PROJECTIONS, THRESHOLD, START, GROWTH, VERIFIED = 48, 0.6, 0.5, 1.15, 0.12
-BLOCK, QUERY_BLOCK = 4096, 2048
+#: Projections, and the share of them a vector must collide on; first half-width of a window (times the largest norm) and its growth; a window grows until so many
+#: vectors, and this share of the block, are verified.
+PROJECTIONS, THRESHOLD, START, GROWTH, AT_LEAST, VERIFIED = 64, 0.8, 1.0, 1.15, 256, 0.12
+BLOCK, QUERY_BLOCK = 8192, 2048
 _AT_ONCE = 256
 
 
@@ -45,7 +47,7 @@ class Index:
         """
         n, p = len(self.ids), len(self.order)
         at = (queries * (self.bound / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]) @ self.axes[:-1]
-        need, want = int(np.ceil(threshold * p)), min(n, k + 1 + int(np.ceil(verified * n)))
+        need, want = int(np.ceil(threshold * p)), min(n, k + 1 + AT_LEAST + int(np.ceil(verified * n)))
         counts = np.zeros((len(queries), n), np.int16)
         lo = np.stack([s.searchsorted(at[:, i]) for i, s in enumerate(self.sorted)], 1)
         hi = lo.copy()

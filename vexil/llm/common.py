@@ -35,10 +35,8 @@ def lower_ascii(text: Column) -> Column:
 
 
 def lower_str(text: str) -> str:
-    return text.translate(_LOWER_STR)
-
-
-_LOWER_STR = {ord(c): ord(c) + 32 for c in string.ascii_uppercase}
+    """The same for a Python string: bytes know ASCII letters only."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shared_dir(spark: SparkSession) -> str:

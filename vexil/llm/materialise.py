@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +27,6 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 4096, 6, 20240517
-_HELD, _LONGEST = 400_000, 48
-_JOINT = re.compile(r" \s|\s |\x00")
 
 
 class Permutation:
@@ -65,50 +62,33 @@ class Permutation:
 
 
 class Tokens:
-    """Token ids of a byte-level vocabulary, as little-endian 16-bit numbers.
-
-    Where no blank meets other white space, the text can be cut before each blank without changing a token, so what lies between is looked up in a bounded
-    memory of earlier cuts; other texts are encoded whole.
-    """
+    """Token ids of a byte-level vocabulary."""
 
     def __init__(self, path: str = RANKS) -> None:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.held: dict[str, bytes] = {}
-
-    def _cut(self, part: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(part), np.uint16).tobytes()
-        if len(part) <= _LONGEST:
-            if len(self.held) >= _HELD:
-                self.held.clear()
-            self.held[part] = ids
-        return ids
-
-    def parts(self, text: str) -> list[bytes]:
-        if _JOINT.search(text):
-            return [np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()]
-        held = self.held
-        return [held[p] if p in held else self._cut(p) for p in text.replace(" ", "\x00 ").split("\x00")]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.parts(text))
+    def ids(self, text: str) -> np.ndarray:
+        """With the end id behind them."""
+        return np.append(np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=())), END)
 
-    def count(self, text: str) -> int:
-        return sum(map(len, self.parts(text))) // 2
+    def encode(self, text: str) -> bytes:
+        """As little-endian 16-bit numbers, the end id behind them."""
+        return self.ids(text).astype("<u2").tobytes()
 
 
 @functools.lru_cache(2)
-def _tokens(path: str) -> Tokens:
-    """One a worker process, so that what it has cut serves later tasks."""
+def tokens(path: str) -> Tokens:
+    """One a worker process."""
     return Tokens(path)
 
 
 def _counted(path: str, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = _tokens(path)
-        n = sum(-(-(tokens.count(t or "") + 1) // length) for pdf in batches for t in pdf["text"])
+        vocabulary = tokens(path)
+        n = sum(-(-(len(vocabulary.ids(t or ""))) // length) for pdf in batches for t in pdf["text"])
         yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "n": [n]})
 
     return run
@@ -129,13 +109,13 @@ def sequences(docs: DataFrame, path: str = RANKS, length: int = LENGTH, key: int
         at += counts[pid]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = _tokens(path)
+        vocabulary = tokens(path)
         pid = TaskContext.get().partitionId()
         at, order = starts[pid], Permutation(max(1, total), key)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = tokens.encode(text or "") + END.to_bytes(2, "little")
+                ids = vocabulary.encode(text or "")
                 rows += [(doc, i, len(p) // 2, zlib.compress(p, 1)) for i, p in enumerate(ids[j : j + 2 * length] for j in range(0, len(ids), 2 * length))]
             out = pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"])
             out.insert(0, "slot", order.slot(np.arange(at, at + len(rows))) if rows else np.zeros(0, np.int64))

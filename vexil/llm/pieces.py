@@ -11,6 +11,8 @@ import functools
 import hashlib
 import heapq
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,9 @@ from pyspark.sql import functions as F
 from vexil.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
+DROPOUT, VARIANTS, SEED = 0.1, 2, 17
 _SPACE = "▁"
-_HELD, _LONGEST = 150_000, 40
-_MASK = 2**64 - 1
+_HELD, _LONGEST = 400_000, 40
 _CHUNKS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 
 
@@ -37,7 +38,8 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.dtype = np.uint16 if n <= 2**16 else np.uint32
-        self.ids, self.score, self.bytes = {}, {}, {}
+        self.ids, self.bytes = {}, {}
+        score = {}
         self.table: list[bytes] = [b""] * n
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -46,8 +48,10 @@ class Pieces:
                 self.table[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece] = i
-                self.score[piece] = -sp.get_score(i)
+                score[piece] = sp.get_score(i)
                 self.table[i] = piece.replace(_SPACE, " ").encode()
+        #: Places of the pieces from the best-scored on.
+        self.rank = {p: r for r, p in enumerate(sorted(score, key=lambda p: (-score[p], self.ids[p])))}
         self.cuts_lines = not any("\n" in p for p in self.ids)
 
     def merge(self, chunk: str, key: int, rate: float) -> list[int]:
@@ -55,34 +59,31 @@ class Pieces:
         n = len(chunk)
         below = int(rate * 2**32)
         word = list(chunk)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        score, ids, agenda = self.score, self.ids, []
-        for i in range(n - 1):
-            s = score.get(pair := word[i] + word[i + 1])
-            if s is not None:
-                agenda.append((s, i, i + 1, pair))
-        heapq.heapify(agenda)
+        rank, pop, push = self.rank.get, heapq.heappop, heapq.heappush
+        agenda = [(s, i, i + 1, pair) for i in range(n - 1) if (s := rank(pair := chunk[i : i + 2])) is not None]
+        if agenda:
+            heapq.heapify(agenda)
+            left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            if not word[i] or not word[j] or len(word[i]) + len(word[j]) != len(pair) or right[i] != j:
+            s, i, j, pair = pop(agenda)
+            # stale if either side has grown or gone since
+            if len(word[i]) + len(word[j]) != len(pair) or right[i] != j:
+                continue
+            if below and ((key ^ (i * 0x9E3779B1 + s * 0x85EBCA6B)) * 0xD6E8FEB86659FD93 >> 29) & 0xFFFFFFFF < below:
                 continue
-            if below:
-                x = (key + i * 0x9E3779B97F4A7C15 + ids[pair] * 0xC2B2AE3D27D4EB4F) & _MASK
-                x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
-                if x >> 32 < below:
-                    continue
             word[i], word[j] = pair, ""
             k = right[i] = right[j]
+            right[j] = -2
             if k >= 0:
                 left[k] = i
-                if (s := score.get(both := pair + word[k])) is not None:
-                    heapq.heappush(agenda, (s, i, k, both))
-            if (h := left[i]) >= 0 and (s := score.get(both := word[h] + pair)) is not None:
-                heapq.heappush(agenda, (s, h, i, both))
-        out = []
+                if (s := rank(both := pair + word[k])) is not None:
+                    push(agenda, (s, i, k, both))
+            if (h := left[i]) >= 0 and (s := rank(both := word[h] + pair)) is not None:
+                push(agenda, (s, h, i, both))
+        out, ids = [], self.ids.get
         for w in word:
             if w:
-                known = ids.get(w)
+                known = ids(w)
                 out += [known] if known is not None else [self.bytes[b] for b in w.encode()]
         return out
 
@@ -96,14 +97,16 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, rate: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> None:
         self.pieces, self.rate, self.variants, self.seed = pieces, rate, variants, seed
+        self.code = "H" if pieces.dtype == np.uint16 else "I"
         self.held: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def variant(self, doc: object) -> int:
         return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=4).digest()) % self.variants
 
     def _chunk(self, chunk: str, variant: int) -> bytes:
-        key = int.from_bytes(hashlib.blake2b(f"{self.seed}:{variant}:{chunk}".encode(), digest_size=8).digest())
-        ids = np.array(self.pieces.merge(chunk, key, self.rate), self.pieces.dtype).tobytes()
+        data = chunk.encode()
+        key = zlib.crc32(data, self.seed) << 32 | zlib.crc32(data, self.seed + 7919 * (variant + 1))
+        ids = array(self.code, self.pieces.merge(chunk, key, self.rate)).tobytes()
         if len(chunk) <= _LONGEST:
             held = self.held[variant]
             if len(held) >= _HELD:

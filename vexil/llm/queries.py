@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm import ann, langid, linededup, materialise, minhash, mixing, pieces, pii
+from vexil.llm import ann, fingerprint, langid, linededup, lm, materialise, minhash, mixing, pieces, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -22,6 +26,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
@@ -61,8 +69,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_materialise": op2_materialise,
     "op3_ann": op3_ann,
+    "op4_lm": op4_lm,
     "op5_minhash": op5_minhash,
     "op6_pieces": op6_pieces,
     "op7_linededup": op7_linededup,
