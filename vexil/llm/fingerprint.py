@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from vexil.llm.common import stash
 
-TABLES, SWEEPS, GROWTH = 3, 5, 4
-#: Cells of the fingerprint that is shown; least cells of a comparison; a line longer than this is cut after its sentences.
-SHOWN, LEAST, LONG_LINE = 12, 24, 600
+TABLES, SWEEPS, GROWTH = 3, 5, 3
+#: Cells of the fingerprint that is shown; least cells of a comparison, and more for each digest of the two; a line longer than this is cut after its sentences.
+SHOWN, LEAST, FIRST, LONG_LINE = 12, 24, 0.75, 600
 ROWS_A_BUCKET, MOST_BUCKETS = 256, 1 << 16
 
 
@@ -50,8 +50,9 @@ def _summed(cells: DataFrame, by: list[str]) -> DataFrame:
     return out.filter("cell < 0 or n <> 0 or k <> 0 or h <> 0")
 
 
-def _peeled(cells: DataFrame, by: list[str]) -> DataFrame:
-    """cells with as many digests taken out as SWEEPS over the tables find; each is a row of its own, with cell -1 for the first version and -2 for the second.
+def _peeled(cells: DataFrame, by: list[str], keep: bool) -> DataFrame:
+    """cells with as many digests taken out as SWEEPS over the tables find: n of them in rows with cell -1 for the first version and -2 for the second, with keep a row
+    for each digest.
 
     A round looks at one table only, in which a digest has one cell, so none is taken out twice. Nothing is shuffled: `by` holds what rows are dealt by.
     """
@@ -61,7 +62,7 @@ def _peeled(cells: DataFrame, by: list[str]) -> DataFrame:
         pure = (F.col("cell") >= t * size) & (F.col("cell") < (t + 1) * size) & (F.abs("n") == 1) & (F.col("h") == _check(F.col("k")))
         row = lambda cell, key, n, k, h: F.struct(cell.cast("int").alias("cell"), key.cast("long").alias("key"), n.alias("n"), k.alias("k"), h.alias("h"))
         zero = F.lit(0).cast("long")
-        taken = [row(F.when(F.col("n") > 0, -1).otherwise(-2), F.col("k"), F.lit(0), zero, zero)]
+        taken = [row(F.when(F.col("n") > 0, -1).otherwise(-2), F.col("k") if keep else zero, F.lit(1), zero, zero)]
         taken += [row(_cell(F.col("k"), o, F.col("m")), zero, -F.col("n"), F.col("k"), F.col("h")) for o in range(TABLES) if o != t]
         same = F.array(row(F.col("cell"), F.col("key"), F.col("n"), F.col("k"), F.col("h")))
         cells = _summed(cells.select(*by, "m", F.explode(F.when(pure, F.array(*taken)).otherwise(same)).alias("c")).select(*by, "m", "c.*"), by)
@@ -71,20 +72,18 @@ def _peeled(cells: DataFrame, by: list[str]) -> DataFrame:
 def differences(pairs: DataFrame, parts: int, most_tries: int = 16) -> DataFrame:
     """(row, kind, only_a, only_b) for pairs(row, kind, a, b) of digest arrays: how many digests only one version has, as peeling recovers them.
 
-    The first try has cells for what the numbers of digests alone say must differ; pairs that aren't recovered whole are tried again with GROWTH times as many.
+    The first try has cells for half of all digests of both; pairs that aren't recovered whole are tried again with GROWTH times as many.
     """
     by = ["row", "kind"]
-    least = F.greatest(F.lit(LEAST), F.ceil(F.abs(F.size("a") - F.size("b")) * 1.6)).cast("int")
-    todo = pairs.withColumn("m", (F.ceil(least / TABLES) * TABLES).cast("int"))
+    todo = pairs.withColumn("m", (F.ceil((LEAST + FIRST * (F.size("a") + F.size("b"))) / TABLES) * TABLES).cast("int"))
     done: DataFrame | None = None
     for _ in range(most_tries):
         side = lambda c, s: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(s).alias("s")))
         first = F.array(F.struct(F.lit(None).cast("long").alias("x"), F.lit(0).alias("s")))
         # repartition() deals arrays by row; all aggregates that follow have row among their keys
         cells = _insert(todo.repartition(parts, "row"), by, F.concat(first, side("a", 1), side("b", -1)), F.col("m"))
-        out = _peeled(cells, by).groupBy(*by, "m").agg(
-            F.count_if(F.col("cell") >= 0).alias("left"), F.count_if(F.col("cell") == -1).alias("only_a"), F.count_if(F.col("cell") == -2).alias("only_b")
-        )
+        many = lambda cell: F.sum(F.when(F.col("cell") == cell, F.col("n")).otherwise(0))
+        out = _peeled(cells, by, False).groupBy(*by, "m").agg(F.count_if(F.col("cell") >= 0).alias("left"), many(-1).alias("only_a"), many(-2).alias("only_b"))
         out = stash(out, "peeled")
         good = out.filter("left = 0").select("row", "kind", "only_a", "only_b")
         done = done.union(good) if done else good
@@ -100,7 +99,7 @@ def recovered(pairs: DataFrame, cells: int, parts: int) -> DataFrame:
     by = ["row", "kind"]
     side = lambda c, s: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(s).alias("s")))
     first = F.array(F.struct(F.lit(None).cast("long").alias("x"), F.lit(0).alias("s")))
-    done = _peeled(_insert(pairs.repartition(parts, "row"), by, F.concat(first, side("a", 1), side("b", -1)), F.lit(cells)), by)
+    done = _peeled(_insert(pairs.repartition(parts, "row"), by, F.concat(first, side("a", 1), side("b", -1)), F.lit(cells)), by, True)
     keys = lambda cell: F.sort_array(F.collect_list(F.when(F.col("cell") == cell, F.col("key"))))
     return done.groupBy(*by).agg(F.count_if(F.col("cell") >= 0).alias("left"), keys(-1).alias("only_a"), keys(-2).alias("only_b"))
 
@@ -143,9 +142,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     bound = F.element_at(F.from_json(F.lit(json.dumps(bounds)), "array<bigint>"), F.col("bucket") + 1)
     there = F.struct(F.pmod(F.col("bucket") + 1, F.lit(len(bounds))).cast("int").alias("b"), F.when(F.col("bucket") == len(bounds) - 1, 2).otherwise(1).alias("guest"))
     dealt = known.withColumn("at", F.explode(F.when(F.col("doc_id") == bound, F.array(here, there)).otherwise(F.array(here))))
-    w = Window.partitionBy("at.b").orderBy(F.col("at.guest"), F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
-    out = dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("next_items", F.lead("items").over(w))
-    return out.filter("at.guest = 0").drop("at", "bucket")
+    dealt = dealt.select("doc_id", "text", "items", F.col("at.b").alias("b"), F.col("at.guest").alias("guest"))
+    w = Window.partitionBy("b").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    out = dealt.select("doc_id", "text", "items", "guest", F.lead("text").over(w).alias("next_text"), F.lead("items").over(w).alias("next_items"))
+    return out.filter("guest = 0").drop("guest")
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
