@@ -26,8 +26,9 @@ def draw(doc_id: Column, seed: str) -> Column:
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target) for a table (source, source_size) of a row a source.
 
-    A target is weight times a common level, or the cap `most * source_size` where that is less. Capped sources are those with the least cap a weight,
-    so the level follows from running sums in that order: no iteration. Sizes of zero get a target of zero.
+    A target is weight times a common level, or the cap `most * source_size` where that is less. Capped sources are those with the least cap a weight. In that
+    order the level left to a source and those after it rises while the source is capped and falls from the first that isn't: the largest such level is the one. So
+    running sums do without iteration. If all are capped, targets are the caps; sizes of zero get a target of zero.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_cap = Window.orderBy("x", F.col("source").asc_nulls_last())
@@ -42,7 +43,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
         .withColumn("want", F.sum("source_size").over(every) * F.lit(share))
         .withColumn("w_all", F.sum("w").over(every))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("x") > F.col("level"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("x") >= F.col("level"), F.col("level"))).over(every))
         .select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
     )
 

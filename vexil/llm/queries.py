@@ -117,7 +117,7 @@ a as (select *, [5.0, 2.0, 1.0][1 + ((row_number() over (order by source nulls l
 b as (select *, cap / w as x, sum(source_size) over () * 1.5::double as want, sum(w) over () as w_all from a),
 c as (select *, (want - coalesce(sum(cap) over o, 0)) / (w_all - coalesce(sum(w) over o, 0)) as lev from b
   window o as (order by x, source nulls last rows between unbounded preceding and 1 preceding)),
-l as (select *, min(case when x > lev then lev end) over () as level from c),
+l as (select *, max(case when x >= lev then lev end) over () as level from c),
 t as (select source, source_size, case when level is null then cap else least(cap, w * level) end as target from l),
 r as (select doc_id, size, t.source_size, target, case when t.source_size > 0 then target / t.source_size else 0 end as rate,
   ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint / 281474976710656.0::double as u
