@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,11 +74,19 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         """With the end id behind them."""
-        return np.append(np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=())), END)
+        return np.frombuffer(self.encode(text), "<u2")
+
+    def count(self, text: str) -> int:
+        """The end id included."""
+        return len(self.encoding.encode_ordinary(text)) + 1
 
     def encode(self, text: str) -> bytes:
         """As little-endian 16-bit numbers, the end id behind them."""
-        return self.ids(text).astype("<u2").tobytes()
+        ids = array("H", self.encoding.encode_ordinary(text))
+        ids.append(END)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 @functools.lru_cache(2)
@@ -88,7 +98,7 @@ def tokens(path: str) -> Tokens:
 def _counted(path: str, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = tokens(path)
-        n = sum(-(-(len(vocabulary.ids(t or ""))) // length) for pdf in batches for t in pdf["text"])
+        n = sum(-(-vocabulary.count(t or "") // length) for pdf in batches for t in pdf["text"])
         yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "n": [n]})
 
     return run
@@ -116,7 +126,7 @@ def sequences(docs: DataFrame, path: str = RANKS, length: int = LENGTH, key: int
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = vocabulary.encode(text or "")
-                rows += [(doc, i, len(p) // 2, zlib.compress(p, 1)) for i, p in enumerate(ids[j : j + 2 * length] for j in range(0, len(ids), 2 * length))]
+                rows += [(doc, i, len(p) // 2, p) for i, p in enumerate(ids[j : j + 2 * length] for j in range(0, len(ids), 2 * length))]
             out = pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"])
             out.insert(0, "slot", order.slot(np.arange(at, at + len(rows))) if rows else np.zeros(0, np.int64))
             at += len(rows)
@@ -168,8 +178,7 @@ def materialise(docs: DataFrame, where: str | None = None, path: str = RANKS, le
                 if slot // per_shard != now:
                     close()
                     now, held = slot // per_shard, []
-                data = zlib.decompress(payload)
-                held.append(data + pad * ((stride - len(data)) // 2))
+                held.append(payload + pad * ((stride - len(payload)) // 2))
                 crc.append(zlib.crc32(held[-1]))
             yield pd.DataFrame(
                 {"slot": pdf["slot"], "shard": pdf["slot"] // per_shard, "byte_offset": pdf["slot"] % per_shard * stride, "doc_id": pdf["doc_id"], "part": pdf["part"], "n_tokens": pdf["n_tokens"], "crc": crc}
