@@ -14,7 +14,10 @@ from vexil.operators.config import AttentionConfig
 from vexil.operators.ivf import Index
 from vexil.sources.shared import small
 
-EACH = Window.partitionBy("query_id")
+
+def each() -> Window:
+    """The rows of one query."""
+    return Window.partitionBy("query_id")
 
 
 def regions(kv: DataFrame, sink: int, local: int) -> DataFrame:
@@ -32,8 +35,9 @@ def exact(queries: DataFrame, kv: DataFrame, scale: float, dim: int, keep: list[
     return kv.join(held, "stream_id").select("query_id", "stream_id", *cols, (V.dot(F.col("_q"), V.doubles(F.col("key")), dim) * F.lit(scale)).alias("logit"))
 
 
-def softmax(logits: DataFrame, by: Window = EACH) -> DataFrame:
+def softmax(logits: DataFrame) -> DataFrame:
     """logits with w, their share in the softmax of their query."""
+    by = each()
     e = F.exp(F.col("logit") - F.max("logit").over(by))
     return logits.withColumn("w", e / F.sum(e).over(by))
 
@@ -50,7 +54,7 @@ def dense(queries: DataFrame, kv: DataFrame, scale: float, dim: int, dim_value:
 
 def segment_sums(logits: DataFrame) -> DataFrame:
     """(query_id, list_id, s): sums of exp(logit - the query's largest logit)."""
-    shifted = logits.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(EACH)))
+    shifted = logits.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(each())))
     return shifted.groupBy("query_id", "list_id").agg(F.sum("_e").alias("s"))
 
 
@@ -78,7 +82,7 @@ def partial(logits: DataFrame, part: str, dim: int) -> DataFrame:
 
 def merge_partial(parts: DataFrame, dim: int) -> DataFrame:
     """(query_id, d, value) of parts, by their logarithms of sums."""
-    shifted = parts.withColumn("_f", F.exp(F.col("m") - F.max("m").over(EACH)))
+    shifted = parts.withColumn("_f", F.exp(F.col("m") - F.max("m").over(each())))
     total = F.sum(F.col("s") * F.col("_f"))
     out = F.array(*((F.sum(F.get("o", F.lit(i)) * F.col("_f")) / total) for i in range(dim)))
     return shifted.groupBy("query_id").agg(out.alias("_o")).select("query_id", F.posexplode("_o").alias("d", "value")).select("query_id", F.col("d").cast("long").alias("d"), "value")
@@ -94,7 +98,7 @@ def chosen_counts(scaled: DataFrame, lengths: DataFrame, cfg: AttentionConfig, p
         if cfg.top_p_scope == "retrieval":
             return S.nucleus(logits, cfg.top_p)
         both = softmax(logits.withColumn("_pre", F.lit(False)).unionByName(prefix.select("query_id", "pos", "logit").withColumn("_pre", F.lit(True))))
-        both = both.withColumn("_ahead", F.sum(F.when(F.col("_pre"), F.col("w")).otherwise(0.0)).over(EACH)).withColumn("mass", F.col("w"))
+        both = both.withColumn("_ahead", F.sum(F.when(F.col("_pre"), F.col("w")).otherwise(0.0)).over(each())).withColumn("mass", F.col("w"))
         return S.nucleus(both.filter("not _pre"), cfg.top_p, F.col("_ahead"))
     k = S.fraction_k(F.col("n"), cfg.top_fraction) if cfg.top_fraction is not None else F.least(F.col("n"), F.lit(cfg.retrieval_topk))
     return lengths.select("query_id", k.alias("k"))

@@ -32,11 +32,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/vexil-{what}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
+def stash(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+    """df, written to the shared folder and read again: lineage ends here and a lost executor loses nothing.
+
+    zstd is smallest; lz4_raw is plain Java and takes no native memory, for tables of long texts.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
