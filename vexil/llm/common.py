@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
 import string
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from vexil.sources.shared import fresh_path, maybe_broadcast, shared_dir, stash
+
+__all__ = ["fresh_path", "hash_words", "lower_ascii", "lower_str", "maybe_broadcast", "mix64", "shared_dir", "shingle_sets", "small_batches", "stash"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
-#: Broadcasts are only made of tables whose counted rows times row width stay below this.
-BROADCAST_BYTES = 32 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -26,7 +24,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 20
-_LOCAL: list[str] = []
 
 
 def lower_ascii(text: Column) -> Column:
@@ -39,42 +36,12 @@ def lower_str(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="vexil-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        where = _LOCAL[0]
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/vexil-{what}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of fewer rows, so that a batch of long texts stays small; a session's own setting stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint if the counted rows are proved to fit; else df as it is, for a shuffled join that AQE can split."""
-    return F.broadcast(df) if rows * row_bytes <= most else df
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> np.uint64(30))

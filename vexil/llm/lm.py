@@ -26,7 +26,7 @@ START, PAD = SLOTS, SLOTS + 1
 WIDTH, STRIDE, CONTEXT = 16, 32, 16
 WINDOW = STRIDE + CONTEXT
 #: Of 96 training documents two shape the slots, and each of two rounds trains on three others.
-SHARE, ROUNDS, RATE, BATCH = 96, 2, 0.02, 48
+SHARE, ROUNDS, RATE, BATCH = 96, 2, 0.04, 48
 SMOOTH = 20.0
 #: Words above this share of all training words are sent to the tasks (a million at most, by arithmetic); rarer ones are joined.
 FREQUENT = 1e-6
@@ -256,7 +256,7 @@ def prepared(docs: DataFrame, path: str = materialise.RANKS) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     held = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold != 2, F.lit(False)).alias("learn"), held, F.coalesce("text", F.lit("")).alias("text"))
-    return stash(rows.mapInPandas(run, "row long, doc_id long, learn boolean, held_out boolean, text string, ids binary"), "tokens")
+    return stash(rows.mapInPandas(run, "row long, doc_id long, learn boolean, held_out boolean, text string, ids binary"), "tokens", "lz4_raw")
 
 
 def _ids(column: pd.Series) -> list[np.ndarray]:

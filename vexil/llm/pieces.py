@@ -25,7 +25,7 @@ from vexil.llm.common import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 2, 17
 _SPACE = "▁"
-_HELD, _LONGEST = 400_000, 40
+_HELD, _LONGEST = 150_000, 40
 _CHUNKS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 
 
@@ -52,6 +52,8 @@ class Pieces:
                 self.table[i] = piece.replace(_SPACE, " ").encode()
         #: Places of the pieces from the best-scored on.
         self.rank = {p: r for r, p in enumerate(sorted(score, key=lambda p: (-score[p], self.ids[p])))}
+        #: Neighbours within some piece: no merge reaches over any other two, so text can be cut there.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cuts_lines = not any("\n" in p for p in self.ids)
 
     def merge(self, chunk: str, key: int, rate: float) -> list[int]:
@@ -104,13 +106,24 @@ class Encoder:
         return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=4).digest()) % self.variants
 
     def _chunk(self, chunk: str, variant: int) -> bytes:
-        data = chunk.encode()
-        key = zlib.crc32(data, self.seed) << 32 | zlib.crc32(data, self.seed + 7919 * (variant + 1))
-        ids = array(self.code, self.pieces.merge(chunk, key, self.rate)).tobytes()
-        if len(chunk) <= _LONGEST:
-            held = self.held[variant]
-            if len(held) >= _HELD:
-                held.clear()
+        """Ids of a chunk that isn't held, put together from what lies between its cuts."""
+        held, joined, out, start = self.held[variant], self.pieces.joined, [], 0
+        if len(held) >= _HELD:
+            held.clear()
+        for i in range(1, len(chunk) + 1):
+            if chunk[i - 1 : i + 1] not in joined:
+                part = chunk[start:i]
+                start = i
+                ids = held.get(part)
+                if ids is None:
+                    data = part.encode()
+                    key = zlib.crc32(data, self.seed) << 32 | zlib.crc32(data, self.seed + 7919 * (variant + 1))
+                    ids = array(self.code, self.pieces.merge(part, key, self.rate)).tobytes()
+                    if len(part) <= _LONGEST:
+                        held[part] = ids
+                out.append(ids)
+        ids = b"".join(out)
+        if len(out) > 1 and len(chunk) <= _LONGEST:
             held[chunk] = ids
         return ids
 
