@@ -16,7 +16,7 @@ LETTERS = "ABCD"
 def normalize(text: Column) -> Column:
     """Lower case, ASCII punctuation dropped, articles a, an and the blanked, white space collapsed."""
     bare = F.regexp_replace(F.lower(text), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "), r"\s+", " "))
 
 
 def words(text: Column) -> Column:

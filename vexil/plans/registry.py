@@ -152,7 +152,7 @@ def d19_pages(c: Canon) -> DataFrame:
     return c.kv.groupBy(B.page().alias("page")).agg(F.count("*").alias("n"), six(F.avg(F.get("key", F.lit(0)))).alias("mean_0"), six(F.max(F.get("key", F.lit(0)))).alias("max_0"))
 
 
-@query(f"with {KV} select label // 2 as stream_id, query_id, count(*) as n, {R6.format('max(list_inner_product(q, k)) * 0.125')} as best from q, kv group by 1, 2")
+@query(f"with {KV} select (label // 2)::bigint as stream_id, query_id, count(*) as n, {R6.format('max(list_inner_product(q, k)) * 0.125')} as best from q, kv group by 1, 2")
 def p18_head_groups(c: Canon) -> DataFrame:
     """Ten label heads, two a key/value head: each query meets every head's rows."""
     kv = A.head_queries(c.kv.withColumn("q_head", F.col("label")), 2).select("stream_id", "pos", "key")
@@ -519,7 +519,7 @@ pv as (select page, list(x order by d) as v from (select page, d, avg(x) as x fr
 PAGE_HIT = "select ex.query_id, logit, v from ex join bp on bp.query_id = ex.query_id and bp.page = ex.pos // 16"
 
 
-@query(attention_sql(PAGE_MEANS, f"{PAGE_HIT} union all select query_id, list_inner_product(q, k) * 0.125 + ln(n), v from q, km join pv using (page) anti join bp using (query_id, page)"))
+@query(attention_sql(PAGE_MEANS, f"{PAGE_HIT} union all select query_id, list_inner_product(q, k) * 0.125 + ln(n), v from (select * from q, (select * from km join pv using (page))) anti join bp using (query_id, page)"))
 def b3_page_background(c: Canon) -> DataFrame:
     return by_dim(B.page_background(c.queries, c.kv, _pages(c), SCALE, DIM, DIM_VALUE))
 
@@ -732,7 +732,9 @@ def _turns(c: Canon) -> DataFrame:
 
 
 TURNS = "tu as (select a.conv_id, a.turn, a.text as pred, b.text as truth from conversations a join conversations b on a.conv_id = b.conv_id and a.turn + 1 = b.turn)"
-NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+#: Twice, since neighbours share the character between them.
+ARTICLE = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])(a|an|the)([^\p{{L}}\p{{N}}_]|$)', '\1 \3', 'g')"
+NORMAL = "trim(regexp_replace(" + ARTICLE.format(ARTICLE.format(r"regexp_replace(lower({}), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g')")).replace("{L}", "{{L}}").replace("{N}", "{{N}}") + r", '\s+', ' ', 'g'))"
 
 
 @query(f"select conv_id, turn, md5({NORMAL.format('text')}) as normal from conversations")
@@ -795,7 +797,7 @@ def g8_truncate(c: Canon) -> DataFrame:
     return c.table("documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.concat_ws(" ", E.middle_cut(w, 65))).alias("cut"))
 
 
-@query("with t as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, s as start, md5(array_to_string(w[s + 1 : s + 16], ' ')) as piece from t, (select unnest([0, 16, 48]) as s) where len(w) >= 64")
+@query("with t as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, s::bigint as start, md5(array_to_string(w[s + 1 : s + 16], ' ')) as piece from t, (select unnest([0, 16, 48]) as s) where len(w) >= 64")
 def g10_windows(c: Canon) -> DataFrame:
     rows = c.table("documents").select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 64)
     return G.windows(rows, "w", [0, 16, 48], 16).select("doc_id", F.col("start").cast("long").alias("start"), F.md5(F.concat_ws(" ", "window")).alias("piece"))
