@@ -265,10 +265,10 @@ def t3_budget(c: Canon) -> DataFrame:
     return S.search(c.queries, c.index, 10, 2, 20)["candidates"].select("query_id", "pos", "rank", six("score").alias("score"))
 
 
-@query(f"with {PROBE} select query_id, pos, rank from ca where rank <= 10 and query_id = 0")
+@query(f"with {PROBE} select query_id, pos, rank from ca where rank <= 10")
 def t4_search(c: Canon) -> DataFrame:
-    """One query: the one of the first position."""
-    return S.search(c.queries.filter("query_id = 0"), c.index, 10, 2)["topk"].select("query_id", "pos", "rank")
+    """Without a budget; a single query is a table of one row."""
+    return S.search(c.queries, c.index, 10, 2)["topk"].select("query_id", "pos", "rank")
 
 
 @query(f"with {PROBE} select query_id, pos, rank, {R6.format('score')} as score from ca where rank <= 10")
@@ -486,10 +486,10 @@ def r1_append_stream(c: Canon) -> DataFrame:
     return R.append_counters(c.table("events").select(F.col("user_id").cast("long").alias("stream_id")), 8)
 
 
-@query("with e as (select user_id, value from events) select case when value is null then 'no_value' when value < 10 then 'too_small' when user_id % 7 = 0 then 'excluded' else 'admitted' end as reason, count(*) as n from e group by 1")
+@query("with e as (select event_type, value from events) select case when value is null then 'no_value' when value < 10 then 'too_small' when event_type = 'view' then 'excluded' else 'admitted' end as reason, count(*) as n from e group by 1")
 def r12_admission(c: Canon) -> DataFrame:
-    rules = [("no_value", F.col("value").isNull()), ("too_small", F.col("value") < 10), ("excluded", F.col("user_id") % 7 == 0)]
-    return M.rejected(c.table("events").select("user_id", "value"), rules)
+    rules = [("no_value", F.col("value").isNull()), ("too_small", F.col("value") < 10), ("excluded", F.col("event_type") == "view")]
+    return M.rejected(c.table("events").select("event_type", "value"), rules)
 
 
 # selectors
@@ -769,7 +769,7 @@ def e5_count(c: Canon) -> DataFrame:
 
 @query()
 def e6_code_similarity(c: Canon) -> DataFrame:
-    return _turns(c).select("conv_id", "turn", six(E.code_similarity(F.substring("pred", 1, 200), F.substring("truth", 1, 200))).alias("score"))
+    return _turns(c).select("conv_id", "turn", six(E.code_similarity(F.col("pred"), F.col("truth"))).alias("score"))
 
 
 @query(f"with {TURNS} select conv_id, turn, round(len(list_filter(string_split(truth, ' '), lambda a: contains(lower(pred), lower(a)))) / len(string_split(truth, ' ')), 6)::double as score from tu")
@@ -826,9 +826,9 @@ def s10_corpus(c: Canon) -> DataFrame:
     return out.select(F.md5(F.concat_ws(" ", "tokens")).alias("head"), "enough")
 
 
-@query("with l as (select doc_id % 50 as _id, source as task, quality as score, doc_id from documents join labels using (doc_id)), r as (select *, row_number() over (partition by task, _id order by doc_id desc) as r, count(*) over (partition by task, _id) - 1 as repeats from l) select task, _id, score::bigint as score, repeats from r where r = 1")
+@query("with l as (select lang as _id, source as task, quality as score, doc_id from documents join labels using (doc_id)), r as (select *, row_number() over (partition by task, _id order by doc_id desc) as r, count(*) over (partition by task, _id) - 1 as repeats from l) select task, _id, score::bigint as score, repeats from r where r = 1")
 def s11_last_wins(c: Canon) -> DataFrame:
-    rows = _labelled(c).select((F.col("doc_id") % 50).alias("_id"), F.col("source").alias("task"), F.col("quality").cast("long").alias("score"), "doc_id")
+    rows = _labelled(c).select(F.col("lang").alias("_id"), F.col("source").alias("task"), F.col("quality").cast("long").alias("score"), "doc_id")
     return logs.last_wins(rows, [F.desc("doc_id")]).select("task", "_id", "score", "repeats")
 
 

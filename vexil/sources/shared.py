@@ -32,10 +32,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/vexil-{what}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+def stash(df: DataFrame, what: str, codec: str = "lz4_raw") -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and a lost executor loses nothing.
 
-    zstd is smallest; lz4_raw is plain Java and takes no native memory, for tables of long texts.
+    lz4_raw is plain Java: unlike zstd it takes no memory outside the heap, which executors have little of beside their Python workers.
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
