@@ -25,12 +25,12 @@ START, PAD = SLOTS, SLOTS + 1
 #: Width of a head; positions a window scores; positions before them that it only looks at.
 WIDTH, STRIDE, CONTEXT = 16, 32, 16
 WINDOW = STRIDE + CONTEXT
-#: Of 96 training documents two shape the slots, and each of two rounds trains on three others.
+#: Of 96 training documents two shape the slots, and each of two rounds trains on two others.
 SHARE, ROUNDS, RATE, BATCH = 96, 2, 0.04, 48
 SMOOTH = 20.0
 #: Words above this share of all training words are sent to the tasks (a million at most, by arithmetic); rarer ones are joined.
 FREQUENT = 1e-6
-_AT_ONCE = 256
+_AT_ONCE = 512
 _TOKENS = 200_000
 _HELD = 1 << 20
 
@@ -110,7 +110,8 @@ def _summed(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """slot of each id, log share of each id in its slot, log probabilities of pairs as group and in-group tables, and the learned weights."""
+    """slot of each id, log share of each id in its slot, log probabilities of pairs as group and in-group tables (the latter a group at a time,
+    since a batch is scored that way), and the learned weights."""
 
     slot: np.ndarray
     inside: np.ndarray
@@ -127,7 +128,7 @@ class Model:
         p = (pairs + SMOOTH * uni) / (pairs.sum(1, keepdims=True) + SMOOTH)
         p = p.reshape(SLOTS + 2, GROUPS, GROUP)
         group = p.sum(2)
-        return Model(slot, np.log(one / total[slot]).astype(np.float32), np.log(group).astype(np.float32), np.log(p / group[:, :, None]).astype(np.float32))
+        return Model(slot, np.log(one / total[slot]).astype(np.float32), np.log(group).astype(np.float32), np.ascontiguousarray(np.log(p / group[:, :, None]).transpose(1, 0, 2), np.float32))
 
     def attend(self, known: np.ndarray) -> tuple[np.ndarray, ...]:
         """Batched masked attention of the last STRIDE positions of each window over the window.
@@ -136,12 +137,12 @@ class Model:
         """
         w = self.weights
         asks = known[:, CONTEXT:]
-        score = (w.q * np.float32(WIDTH**-0.5))[asks] @ w.k[known].transpose(0, 2, 1)
+        score = (w.q * np.float32(WIDTH**-0.5)).take(asks, 0) @ w.k.take(known, 0).transpose(0, 2, 1)
         np.exp(score, out=score)
         score *= np.exp(w.far)[np.maximum(_BACK, 0)] * _CAUSAL
         values = np.column_stack([w.v, np.ones(SLOTS + 2, np.float32)])
         values[PAD] = 0
-        seen = score @ values[known]
+        seen = score @ values.take(known, 0)
         total = np.maximum(seen[..., WIDTH:], np.float32(1e-30))
         return asks, score, total, seen[..., :WIDTH] / total
 
@@ -152,15 +153,19 @@ class Model:
         real = np.flatnonzero(goal.ravel() >= 0)
         asks, seen, goal = asks.ravel()[real], seen.reshape(-1, WIDTH)[real], goal.ravel()[real]
         group, place = np.divmod(goal, GROUP)
-        l1 = self.base1[asks] + seen @ self.weights.w1
-        got = l1[np.arange(len(goal)), group] - np.log(np.exp(l1).sum(1))
+        l1 = self.base1.take(asks, 0)
+        l1 += seen @ self.weights.w1
+        got = l1[np.arange(len(goal)), group]
+        got -= np.log(np.exp(l1, out=l1).sum(1))
         order = np.argsort(group, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
         for g in range(GROUPS):
             some = order[ends[g] : ends[g + 1]]
             if len(some):
-                l2 = self.base2[asks[some], g] + seen[some] @ self.weights.w2[g]
-                got[some] += l2[np.arange(len(some)), place[some]] - np.log(np.exp(l2).sum(1))
+                l2 = self.base2[g].take(asks[some], 0)
+                l2 += seen.take(some, 0) @ self.weights.w2[g]
+                at = l2[np.arange(len(some)), place[some]]
+                got[some] += at - np.log(np.exp(l2, out=l2).sum(1))
         out[real] = got
         return out.reshape(-1, STRIDE)
 
@@ -182,7 +187,7 @@ class Model:
         for g in range(GROUPS):
             some = np.flatnonzero(group == g)
             if len(some):
-                d2 = np.exp(self.base2[asks[some], g] + seen[some] @ w.w2[g])
+                d2 = np.exp(self.base2[g].take(asks[some], 0) + seen[some] @ w.w2[g])
                 d2 /= d2.sum(1, keepdims=True)
                 d2[np.arange(len(some)), place[some]] -= 1
                 dw2[g] = seen[some].T @ d2 / n
@@ -249,14 +254,15 @@ def prepared(docs: DataFrame, path: str = materialise.RANKS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(ids=[ids_of(t, path).astype("<u2").tobytes() for t in pdf["text"]])
+    @F.pandas_udf("binary")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([ids_of(t, path).astype("<u2").tobytes() for t in texts])
 
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     held = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold != 2, F.lit(False)).alias("learn"), held, F.coalesce("text", F.lit("")).alias("text"))
-    return stash(rows.mapInPandas(run, "row long, doc_id long, learn boolean, held_out boolean, text string, ids binary"), "tokens", "lz4_raw")
+    return stash(rows.withColumn("ids", cut("text")), "tokens")
 
 
 def _ids(column: pd.Series) -> list[np.ndarray]:
@@ -350,7 +356,7 @@ def train(rows: DataFrame) -> Fitted:
     ids, pairs = _gathered(learn, slot)
     model = Model.counted(slot, ids, pairs.reshape(SLOTS + 2, SLOTS))
     for r in range(ROUNDS):
-        own = _shares(rows, ", ".join(str(2 + 3 * r + i) for i in range(3))).select("ids")
+        own = _shares(rows, f"{2 + 2 * r}, {3 + 2 * r}").select("ids")
         sent = own.mapInPandas(_trained(model, r), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(sent):
             model.weights = Weights.shaped(sent.sort_values("i")["x"].to_numpy())
