@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 
@@ -15,15 +14,6 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module", autouse=True)
-def one_canon():
-    """All queries share one built index here."""
-    plain = registry.Canon
-    registry.Canon = functools.lru_cache(plain)
-    yield
-    registry.Canon = plain
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -13,6 +13,7 @@ from vexil.operators import attention as A
 from vexil.operators import ivf
 from vexil.operators import kmeans as K
 from vexil.operators.config import AttentionConfig, IndexConfig
+from vexil.sources.shared import stash
 
 DIM, DIM_VALUE, SCALE = 64, 8, 0.125
 SINK, LOCAL, LISTS, PIECES = 4, 128, 8, 8
@@ -56,7 +57,8 @@ class Canon:
 
     @cached_property
     def coarse_and_assigned(self) -> tuple[DataFrame, DataFrame]:
-        return K.kmeans(self.points, ["stream_id"], LISTS, DIM, INDEX.coarse_max_iter, self.first(LISTS), refill=False)
+        coarse, assigned = K.kmeans(self.points, ["stream_id"], LISTS, DIM, INDEX.coarse_max_iter, self.first(LISTS), refill=False)
+        return coarse, stash(assigned, "assigned")
 
     @property
     def assigned(self) -> DataFrame:
@@ -76,11 +78,11 @@ class Canon:
     def index(self) -> ivf.Index:
         coarse, _ = self.coarse_and_assigned
         codes = ivf.encode(self.residual, self.codebook, INDEX, DIM).select("stream_id", "pos", "list_id", "codes", "key_norm")
-        return ivf.Index(INDEX, DIM, coarse, self.codebook, codes)
+        return ivf.Index(INDEX, DIM, coarse, self.codebook, stash(codes, "codes"))
 
     @cached_property
     def means(self) -> DataFrame:
-        return K.value_means(self.assigned, DIM_VALUE)
+        return stash(K.value_means(self.assigned, DIM_VALUE), "means")
 
     def logits(self, cfg: AttentionConfig = HYBRID) -> DataFrame:
         return A.hybrid_logits(self.queries, self.regions, self.index, cfg, DIM)

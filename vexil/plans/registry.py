@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -26,9 +27,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+@functools.lru_cache(8)
+def _built(application: str, sf_dir: str) -> Canon:
+    return Canon(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), sf_dir)
+
+
+def canon(spark: SparkSession, sf_dir: str) -> Canon:
+    """An index is built once an application and path, like any table that queries share; a table written anew needs a new path."""
+    return _built(spark.sparkContext.applicationId, sf_dir)
+
+
 def query(sql: str | None = None):
     def register(f: Callable[[Canon], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Canon(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(canon(spark, sf_dir))
         if sql:
             ORACLE[f.__name__] = sql
         return f
