@@ -1,9 +1,10 @@
 """Training-order materialisation: token ids cut into sequences, each put at a global slot by a keyed permutation, slots written as fixed-stride shards.
 
-Two scans of the same table: the first counts sequences a partition, so the second can number them without a shuffle. A balanced Feistel network on the numbers
-below the next power of four, walked along its cycles until the number is below the count, permutes them without a table. Sequences then go once through a
-shuffle to the partition that holds their range of slots, which writes its shards in slot order. A reader finds slot s at byte (s % per_shard) * stride of shard
-s // per_shard, so reading is sequential and resumes from a slot number alone.
+A document has no more tokens than bytes, so its bytes alone tell how many places to reserve for its sequences: a scan that sums them a partition lets the next scan number
+its sequences without a shuffle, and texts are tokenised once. A balanced Feistel network on the numbers below the next power of four, walked along its cycles
+until the number is one of the reserved, permutes the places without a table. Sequences then go once through a shuffle to the task that holds their range of
+places, which writes its shards in that order, every record of the same size. A sequence's slot is its place counted over those in use, so slots are dense: a
+manifest with one row a shard has the first slot of each, and a reader finds a slot by it, reads sequentially from there, and resumes from a slot number alone.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs
+import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.common import fresh_path, mix64, small_batches
+from vexil.llm.common import fresh_path, maybe_broadcast, mix64, small_batches, stash
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenizer of that vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
-LENGTH, PER_SHARD, ROUNDS, KEY = 512, 4096, 6, 20240517
+#: Ids a sequence; places a shard (about half of them are in use).
+LENGTH, SPAN, ROUNDS, KEY = 512, 8192, 6, 20240517
 
 
 class Permutation:
@@ -76,10 +79,6 @@ class Tokens:
         """With the end id behind them."""
         return np.frombuffer(self.encode(text), "<u2")
 
-    def count(self, text: str) -> int:
-        """The end id included."""
-        return len(self.encoding.encode_ordinary(text)) + 1
-
     def encode(self, text: str) -> bytes:
         """As little-endian 16-bit numbers, the end id behind them."""
         ids = array("H", self.encoding.encode_ordinary(text))
@@ -95,54 +94,53 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def _counted(path: str, length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = tokens(path)
-        n = sum(-(-vocabulary.count(t or "") // length) for pdf in batches for t in pdf["text"])
-        yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "n": [n]})
-
-    return run
-
-
 def sequences(docs: DataFrame, path: str = RANKS, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
-    """((slot, doc_id, part, n_tokens, payload), number of sequences) for docs(doc_id, text), which must be a scan that gives the same rows in the same order again.
+    """((place, doc_id, part, n_tokens, payload), number of places) for docs(doc_id, text), which must be a scan that gives the same rows in the same order again.
 
-    A document is its ids and one end id, cut every `length` ids; a null text is the end id alone. The count a partition is one row to the driver and one number
-    sent back, so it is bounded by the number of file splits. If the second scan finds another count, it fails instead of writing shards with holes.
+    A document is its ids and one end id, cut every `length` ids; a null text is the end id alone. The sum a partition is one row to the driver and one number sent
+    back, so it is bounded by the number of file splits. If the second scan reserves another number, it fails instead of giving two sequences one place.
     """
     small_batches(docs.sparkSession)
-    counts = {r["pid"]: r["n"] for r in docs.select("text").mapInPandas(_counted(path, length), "pid int, n long").collect()}
-    total = sum(counts.values())
+    room = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length).cast("long")
+    sums = {r["pid"]: r["n"] for r in docs.select(F.spark_partition_id().alias("pid"), room.alias("room")).groupBy("pid").agg(F.sum("room").alias("n")).collect()}
+    total = sum(sums.values())
     starts, at = {}, 0
-    for pid in sorted(counts):
+    for pid in sorted(sums):
         starts[pid] = at
-        at += counts[pid]
+        at += sums[pid]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = tokens(path)
         pid = TaskContext.get().partitionId()
-        at, order = starts[pid], Permutation(max(1, total), key)
+        at, order = starts.get(pid, 0), Permutation(max(1, total), key)
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            rows, index = [], []
+            for doc, text, room in zip(pdf["doc_id"], pdf["text"], pdf["room"].tolist(), strict=True):
                 ids = vocabulary.encode(text or "")
-                rows += [(doc, i, len(p) // 2, p) for i, p in enumerate(ids[j : j + 2 * length] for j in range(0, len(ids), 2 * length))]
+                cuts = range(0, len(ids), 2 * length)
+                rows += [(doc, i, len(p) // 2, p) for i, p in enumerate(ids[j : j + 2 * length] for j in cuts)]
+                index += range(at, at + len(cuts))
+                at += room
             out = pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"])
-            out.insert(0, "slot", order.slot(np.arange(at, at + len(rows))) if rows else np.zeros(0, np.int64))
-            at += len(rows)
+            out.insert(0, "place", order.slot(np.array(index, np.int64)))
             yield out
-        if at != starts[pid] + counts[pid]:
+        if at != starts.get(pid, 0) + sums.get(pid, 0):
             raise RuntimeError("the table changed between two scans")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "slot long, doc_id long, part int, n_tokens int, payload binary"), total
+    rows = docs.select(F.col("doc_id").cast("long"), "text", room.alias("room"))
+    return rows.mapInPandas(run, "place long, doc_id long, part int, n_tokens int, payload binary"), total
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def materialise(docs: DataFrame, where: str | None = None, path: str = RANKS, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """Writes the shards below `where` (a new folder in the shared folder by default) when the result is computed.
+def _folder(where: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(where if "://" in where or where.startswith("file:") else f"file://{where}")
+
+
+def materialise(docs: DataFrame, where: str | None = None, path: str = RANKS, length: int = LENGTH, span: int = SPAN, key: int = KEY) -> DataFrame:
+    """Writes shards and, when all are there, the manifest below `where` (a new folder in the shared folder by default).
 
     Result: (slot, shard, byte_offset, doc_id, part, n_tokens, crc) a sequence; crc is of the stored bytes. A shard is written under another name and moved, so a
     task that runs again, or a job that is resumed, leaves whole shards only, with equal bytes. Ids beyond a short last part are END. An empty table writes
@@ -151,54 +149,60 @@ def materialise(docs: DataFrame, where: str | None = None, path: str = RANKS, le
     spark = docs.sparkSession
     where = where or fresh_path(spark, "shards")
     rows, total = sequences(docs, path, length, key)
-    shards = max(1, -(-total // per_shard))
+    shards = max(1, -(-total // span))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 64)))
     stride = 2 * length
-    pad = np.array(END, np.uint16).tobytes()
+    pad = np.array(END, "<u2").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(where if "://" in where or where.startswith("file:") else f"file://{where}")
+        fs, base = _folder(where)
         fs.create_dir(base, recursive=True)
         now, held = None, []
 
         def close() -> None:
-            if now is None:
-                return
-            if len(held) != min(per_shard, total - now * per_shard):
-                raise RuntimeError(f"shard {now} has {len(held)} sequences")
-            name = f"{base}/{shard_name(now)}"
-            own = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(own) as out:
-                out.write(b"".join(held))
-            fs.move(own, name)
+            if now is not None:
+                name = f"{base}/{shard_name(now)}"
+                own = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(own) as out:
+                    out.write(b"".join(held))
+                fs.move(own, name)
 
         for pdf in batches:
-            crc = []
-            for slot, payload in zip(pdf["slot"].tolist(), pdf["payload"], strict=True):
-                if slot // per_shard != now:
+            crc, rank = [], []
+            for place, payload in zip(pdf["place"].tolist(), pdf["payload"], strict=True):
+                if place // span != now:
                     close()
-                    now, held = slot // per_shard, []
+                    now, held = place // span, []
+                rank.append(len(held))
                 held.append(payload + pad * ((stride - len(payload)) // 2))
                 crc.append(zlib.crc32(held[-1]))
-            yield pd.DataFrame(
-                {"slot": pdf["slot"], "shard": pdf["slot"] // per_shard, "byte_offset": pdf["slot"] % per_shard * stride, "doc_id": pdf["doc_id"], "part": pdf["part"], "n_tokens": pdf["n_tokens"], "crc": crc}
-            )
+            yield pd.DataFrame({"shard": pdf["place"] // span, "rank": rank, "doc_id": pdf["doc_id"], "part": pdf["part"], "n_tokens": pdf["n_tokens"], "crc": crc})
         close()
 
-    home = (F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")
-    dealt = rows.repartitionById(tasks, home).sortWithinPartitions("slot")
-    return dealt.mapInPandas(write, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, crc long")
-
-
-def read_slots(where: str, first: int, last: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """Token ids of slots first to last - 1, in order: one seek, then sequential reads."""
-    fs, base = pyarrow.fs.FileSystem.from_uri(where if "://" in where else f"file://{where}")
-    stride = 2 * length
+    home = (F.floor(F.col("place") / span) * tasks / shards).cast("int")
+    dealt = rows.repartitionById(tasks, home).sortWithinPartitions("place")
+    written = stash(dealt.mapInPandas(write, "shard long, rank long, doc_id long, part int, n_tokens int, crc long"), "sequences")
+    counts = written.groupBy("shard").agg(F.count("*").alias("n")).toPandas().sort_values("shard")
+    counts["first"] = counts["n"].cumsum() - counts["n"]
+    manifest = spark.createDataFrame(counts.astype("int64"), "shard long, n long, first long")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{where}/manifest")
+    out = written.join(maybe_broadcast(manifest, len(counts), 32), "shard")
+    slot, offset = F.col("first") + F.col("rank"), F.col("rank") * stride
+    return out.select(slot.alias("slot"), "shard", offset.alias("byte_offset"), "doc_id", "part", "n_tokens", "crc")
+
+
+def read_slots(where: str, first: int, last: int, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """Token ids of slots first to last - 1, in order: one look into the manifest, then sequential reads."""
+    fs, base = _folder(where)
+    table = pyarrow.parquet.read_table(f"{base}/manifest", filesystem=fs).to_pandas().sort_values("first")
+    shards, firsts, counts = (table[c].to_numpy() for c in ("shard", "first", "n"))
+    stride, i = 2 * length, int(np.searchsorted(firsts, first, "right")) - 1
     while first < last:
-        shard, at = divmod(first, per_shard)
-        n = min(last - first, per_shard - at)
-        with fs.open_input_file(f"{base}/{shard_name(shard)}") as f:
+        at = first - int(firsts[i])
+        n = min(last - first, int(counts[i]) - at)
+        with fs.open_input_file(f"{base}/{shard_name(int(shards[i]))}") as f:
             f.seek(at * stride)
             data = f.read(n * stride)
-        yield from np.frombuffer(data, np.uint16).reshape(-1, length)
+        yield from np.frombuffer(data, "<u2").reshape(-1, length)
         first += n
+        i += 1
