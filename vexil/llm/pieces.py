@@ -25,7 +25,8 @@ from vexil.llm.common import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 2, 17
 _SPACE = "▁"
-_HELD, _LONGEST = 150_000, 40
+#: Words held a variant and generation: when one is full it becomes the old one, and what is met again moves over.
+_HELD, _LONGEST = 200_000, 40
 _CHUNKS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 
 
@@ -101,20 +102,26 @@ class Encoder:
         self.pieces, self.rate, self.variants, self.seed = pieces, rate, variants, seed
         self.code = "H" if pieces.dtype == np.uint16 else "I"
         self.held: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def variant(self, doc: object) -> int:
         return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=4).digest()) % self.variants
 
     def _chunk(self, chunk: str, variant: int) -> bytes:
-        """Ids of a chunk that isn't held, put together from what lies between its cuts."""
-        held, joined, out, start = self.held[variant], self.pieces.joined, [], 0
+        """Ids of a chunk that the present generation doesn't hold: of the old one, or put together from what lies between its cuts."""
+        held, old = self.held[variant], self.old[variant]
         if len(held) >= _HELD:
+            old = self.old[variant] = dict(held)
             held.clear()
+        if chunk in old:
+            held[chunk] = old[chunk]
+            return old[chunk]
+        joined, out, start = self.pieces.joined, [], 0
         for i in range(1, len(chunk) + 1):
             if chunk[i - 1 : i + 1] not in joined:
                 part = chunk[start:i]
                 start = i
-                ids = held.get(part)
+                ids = held.get(part) or old.get(part)
                 if ids is None:
                     data = part.encode()
                     key = zlib.crc32(data, self.seed) << 32 | zlib.crc32(data, self.seed + 7919 * (variant + 1))
