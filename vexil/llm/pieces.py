@@ -51,6 +51,8 @@ class Pieces:
                 self.ids[piece] = i
                 score[piece] = sp.get_score(i)
                 self.table[i] = piece.replace(_SPACE, " ").encode()
+        self.spelled = np.empty(n, object)
+        self.spelled[:] = self.table
         #: Places of the pieces from the best-scored on.
         self.rank = {p: r for r, p in enumerate(sorted(score, key=lambda p: (-score[p], self.ids[p])))}
         #: Neighbours within some piece: no merge reaches over any other two, so text can be cut there.
@@ -92,7 +94,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that encode() was given; its first space is the one that encoding put there."""
-        return b"".join(map(self.table.__getitem__, ids.tolist())).decode()[1:]
+        return b"".join(self.spelled.take(ids).tolist()).decode()[1:]
 
 
 class Encoder:
@@ -109,6 +111,8 @@ class Encoder:
 
     def _chunk(self, chunk: str, variant: int) -> bytes:
         """Ids of a chunk that the present generation doesn't hold: of the old one, or put together from what lies between its cuts."""
+        if not chunk:
+            return b""
         held, old = self.held[variant], self.old[variant]
         if len(held) >= _HELD:
             old = self.old[variant] = dict(held)
@@ -136,7 +140,7 @@ class Encoder:
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
         """Ids of the text with a space before it. A literal U+2581 is spelled in bytes, so it isn't taken for a space."""
-        held, out = self.held[variant], []
+        get, out = self.held[variant].get, []
         for i, part in enumerate((" " + text).split(_SPACE)):
             if i:
                 out.append(np.array([self.pieces.bytes[b] for b in _SPACE.encode()], self.pieces.dtype).tobytes())
@@ -146,7 +150,7 @@ class Encoder:
             else:
                 part = part.replace(_SPACE, "\x00" + _SPACE)
                 chunks = (part.replace("\n", "\x00\n\x00") if self.pieces.cuts_lines else part).split("\x00")
-            out += [held[c] if c in held else self._chunk(c, variant) for c in chunks]
+            out += [get(c) or self._chunk(c, variant) for c in chunks]
         return np.frombuffer(b"".join(out), self.pieces.dtype)
 
 
@@ -174,7 +178,8 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, rate: float = DR
                     rows.append((0, b"", hashlib.sha256(b"").hexdigest(), True))
                     continue
                 ids = enc.encode(text, enc.variant(doc))
-                rows.append((len(ids), ids.tobytes(), hashlib.sha256(ids.tobytes()).hexdigest(), enc.pieces.decode(ids) == text))
+                data = ids.tobytes()
+                rows.append((len(ids), data, hashlib.sha256(data).hexdigest(), enc.pieces.decode(ids) == text))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "lossless"])], axis=1)
 
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(own, keep, strict=True))
