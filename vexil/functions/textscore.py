@@ -23,18 +23,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def _bound(of: Column, use) -> Column:
+    """use(value) with the value computed once: in a lambda it is a variable, not an expression that is computed again at each place."""
+    return F.get(F.transform(F.array(of), use), F.lit(0))
+
+
 def _common(a: Column, b: Column) -> Column:
-    """Size of the bag intersection."""
+    """Size of the bag intersection; only words of both are counted."""
     times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
 
 
 def f1(prediction: Column, truth: Column) -> Column:
     """F1 of bags of normalized words; 0 without a common word."""
-    a, b = words(normalize(prediction)), words(normalize(truth))
-    same = _common(a, b).cast("double")
-    precision, recall = same / F.greatest(F.lit(1), F.size(a)), same / F.greatest(F.lit(1), F.size(b))
-    return F.when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    bags = F.struct(words(normalize(prediction)).alias("a"), words(normalize(truth)).alias("b"))
+    sizes = _bound(bags, lambda p: F.struct(_common(p["a"], p["b"]).cast("double").alias("same"), F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b")))
+
+    def score(n: Column) -> Column:
+        precision, recall = n["same"] / F.greatest(F.lit(1), n["a"]), n["same"] / F.greatest(F.lit(1), n["b"])
+        return F.when(n["same"] == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    return _bound(sizes, score)
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
