@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vexil.llm import lm
@@ -96,5 +97,23 @@ def test_rows_against_brute_force(docs, rows):
         assert g["score"] < 0
 
 
+def test_every_training_document_shapes_the_slots_and_the_weights(docs, rows):
+    learn = [lm.ids_of(r[1], mt.RANKS) for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    got = lm.train(lm.prepared(docs))
+    assert got.fitted == sum(len(x) for x in learn)
+    assert (got.model.slot == lm.slots_of(np.bincount(np.concatenate(learn), minlength=mt.END + 1))).all()
+
+
+def test_a_task_fits_all_its_documents_in_bounded_chunks(model, monkeypatch):
+    m, ids = model
+    monkeypatch.setattr(lm, "_TOKENS", 50)
+    batches = [pd.DataFrame({"ids": [x.astype("<u2").tobytes() for x in ids[i : i + 7]]}) for i in range(0, len(ids), 7)]
+    chunks = list(lm._chunks(batches))
+    assert [x.tolist() for c in chunks for x in c] == [x.tolist() for x in ids]
+    assert len(chunks) > 1 and all(sum(len(x) for x in c[:-1]) < 50 for c in chunks)
+    (sent,) = lm._trained(m, 0)(iter(batches))
+    assert sent["n"].iloc[0] == sum(len(x) for x in ids)
+
+
 def test_empty(empty):
     assert lm.train_and_score(empty).count() == 0

@@ -2,8 +2,8 @@
 
 Subword ids are dealt to slots: the most frequent ids have one each, the others share slots by frequency, with the id's share of its slot from the counts of the whole
 training corpus. Slots form groups; the model gives the group, then the slot in it. Its logits are those of slot pairs counted over the whole corpus, plus what one
-causal attention head adds from up to CONTEXT slots before, whose weights are learned by gradient descent: every task trains on a share of its own documents from the
-same start, and Spark averages the weights. Training data, counts and work follow the size of the corpus.
+causal attention head adds from up to CONTEXT slots before, whose weights are learned by gradient descent on every training document: in each round every task streams
+its own documents of that round through, from the same start, and Spark averages the weights. Training data, counts and work follow the size of the corpus.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ START, PAD = SLOTS, SLOTS + 1
 #: Width of a head; positions a window scores; positions before them that it only looks at.
 WIDTH, STRIDE, CONTEXT = 16, 32, 16
 WINDOW = STRIDE + CONTEXT
-#: Of 96 training documents two shape the slots, and each of two rounds trains on two others.
-SHARE, ROUNDS, RATE, BATCH = 96, 2, 0.04, 48
+#: Every training document is in one of the rounds.
+ROUNDS, RATE, BATCH = 2, 0.04, 48
 SMOOTH = 20.0
 #: Words above this share of all training words are sent to the tasks (a million at most, by arithmetic); rarer ones are joined.
 FREQUENT = 1e-6
@@ -96,16 +96,30 @@ class Weights:
     @staticmethod
     def shaped(flat: np.ndarray) -> Weights:
         out, at = [], 0
-        for x in vars(Weights.start()).values():
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
+        for shape in _SHAPES:
+            size = int(np.prod(shape))
+            out.append(flat[at : at + size].reshape(shape).astype(np.float32))
+            at += size
         return Weights(*out)
 
 
+_SHAPES = [x.shape for x in vars(Weights.start()).values()]
+
+
 def _summed(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
     """grad's rows summed by slot."""
-    rows, grad = rows.ravel(), grad.reshape(-1, WIDTH)
-    return np.stack([np.bincount(rows, grad[:, i], SLOTS + 2) for i in range(WIDTH)], 1).astype(np.float32)
+    at = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    return np.bincount(at.ravel(), grad.ravel(), (SLOTS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+
+
+@dataclass
+class Moments:
+    """What Adam carries from one chunk of a task's documents to the next: steps, chunks, and the two moments."""
+
+    steps: int = 0
+    chunks: int = 0
+    m: np.ndarray | float = 0.0
+    s: np.ndarray | float = 0.0
 
 
 @dataclass
@@ -203,20 +217,25 @@ class Model:
         dq, dk = ds @ w.k[known], ds.transpose(0, 2, 1) @ w.q[asks2]
         return Weights(_summed(asks2, dq), _summed(known, dk), _summed(known, dv), dfar, dw1, dw2).flat().astype(np.float32)
 
-    def fit(self, docs: list[np.ndarray], seed: int) -> int:
-        """Adam over the windows of docs, once, in seeded order, changing the weights; returns the number of targets."""
+    def fit(self, docs: list[np.ndarray], seed: int, state: Moments | None = None) -> int:
+        """Adam over the windows of docs, once, in seeded order, changing the weights; returns the number of targets.
+
+        state goes on from the chunk before; each chunk begins at a smaller rate than the one before and ends at a tenth of it.
+        """
+        state = state or Moments()
         known, goal, _ = windows(docs)
-        order = np.random.default_rng(seed).permutation(len(known))
+        order = np.random.default_rng([seed, state.chunks] if state.chunks else seed).permutation(len(known))
         flat = self.weights.flat()
-        m, s = np.zeros_like(flat), np.zeros_like(flat)
         steps = range(0, len(order), BATCH)
-        for t, i in enumerate(steps, 1):
+        for j, i in enumerate(steps, 1):
             part = order[i : i + BATCH]
             g = self.gradient(known[part], goal[part])
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * t / len(steps))
-            flat = flat - np.float32(rate) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
+            state.steps = t = state.steps + 1
+            state.m, state.s = 0.9 * state.m + 0.1 * g, 0.99 * state.s + 0.01 * g * g
+            rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * j / len(steps)) / (1 + state.chunks) ** 0.5
+            flat = flat - np.float32(rate) * (state.m / (1 - 0.9**t)) / (np.sqrt(state.s / (1 - 0.99**t)) + 1e-6)
             self.weights = Weights.shaped(flat := np.clip(flat, -_BOUND, _BOUND))
+        state.chunks += 1
         return int((goal >= 0).sum())
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -242,9 +261,9 @@ def ids_of(text: str | None, path: str) -> np.ndarray:
     return materialise.tokens(path).ids(lower_str(text or "")).astype(np.int32)
 
 
-def _shares(rows: DataFrame, what: str) -> DataFrame:
-    """Training documents in some of SHARE equal parts by a hash of the id."""
-    return rows.filter("learn").filter(f"pmod(xxhash64(doc_id, 3), {SHARE}) in ({what})")
+def _round(rows: DataFrame, round_: int) -> DataFrame:
+    """Training documents of one of ROUNDS equal parts by a hash of the id; each document is in one."""
+    return rows.filter("learn").filter(f"pmod(xxhash64(doc_id, 3), {ROUNDS}) = {round_}")
 
 
 def prepared(docs: DataFrame, path: str = materialise.RANKS) -> DataFrame:
@@ -322,12 +341,26 @@ def _gathered(rows: DataFrame, slot: np.ndarray | None) -> tuple[np.ndarray, np.
     return out[: materialise.END + 1], out[_PAIRS:]
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+    """All documents in order, in lists that end as soon as they have _TOKENS ids."""
+    docs, size = [], 0
+    for pdf in batches:
+        for x in _ids(pdf["ids"]):
+            docs.append(x)
+            size += len(x)
+            if size >= _TOKENS:
+                yield docs
+                docs, size = [], 0
+    if docs:
+        yield docs
+
+
 def _trained(model: Model, round_: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs = [model.slot[x] for pdf in batches for x in _ids(pdf["ids"])]
-        if docs:
-            own = Model(model.slot, model.inside, model.base1, model.base2, model.weights)
-            n = own.fit(docs, round_)
+        own, state, n = Model(model.slot, model.inside, model.base1, model.base2, model.weights), Moments(), 0
+        for docs in _chunks(batches):
+            n += own.fit([model.slot[x] for x in docs], round_, state)
+        if n:
             flat = own.weights.flat().astype(np.float64)
             yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat * n, "n": float(n)})
 
@@ -336,13 +369,14 @@ def _trained(model: Model, round_: int):
 
 @dataclass
 class Fitted:
-    """The model, the table of word counts by hash, and what all training tokens, distinct ones, and ends number."""
+    """The model, the table of word counts by hash, and what all training tokens, distinct ones, ends, and ids that gradient descent has seen number."""
 
     model: Model
     words: DataFrame
     n: int
     v: int
     ends: int
+    fitted: int = 0
 
 
 def train(rows: DataFrame) -> Fitted:
@@ -352,18 +386,20 @@ def train(rows: DataFrame) -> Fitted:
     each task before the shuffle.
     """
     learn = rows.filter("learn")
-    slot = slots_of(_gathered(_shares(rows, "0, 1"), None)[0])
+    slot = slots_of(_gathered(learn, None)[0])
     ids, pairs = _gathered(learn, slot)
     model = Model.counted(slot, ids, pairs.reshape(SLOTS + 2, SLOTS))
+    fitted = 0
     for r in range(ROUNDS):
-        own = _shares(rows, f"{2 + 2 * r}, {3 + 2 * r}").select("ids")
-        sent = own.mapInPandas(_trained(model, r), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        own = _round(rows, r).select("ids")
+        sent = own.mapInPandas(_trained(model, r), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n")).toPandas()
         if len(sent):
+            fitted += int(sent["n"].iloc[0])
             model.weights = Weights.shaped(sent.sort_values("i")["x"].to_numpy())
     words = stash(learn.select("text").mapInPandas(_tally_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     ends = learn.count()
     v, n = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    return Fitted(model, words, n + ends, v + (ends > 0), ends)
+    return Fitted(model, words, n + ends, v + (ends > 0), ends, fitted)
 
 
 def score(rows: DataFrame, fitted: Fitted) -> DataFrame:
