@@ -34,6 +34,32 @@ def test_rate_one_leaves_single_characters(vocabulary):
     assert pieces.Encoder(vocabulary, 1.0).encode("the").tolist() == [vocabulary.ids[c] for c in "▁the"]
 
 
+def test_every_occurrence_and_copy_is_cut_anew(spark, vocabulary):
+    enc = pieces.Encoder(vocabulary)
+    text = " ".join(["international"] * 400)
+    cuts = set()
+    for doc in range(5):
+        got, start = vocabulary.spelled.take(enc.encode(text, enc.variant(doc))), 0
+        for i in range(1, len(got) + 1):
+            if i == len(got) or got[i].startswith(b" "):
+                cuts.add(tuple(got[start:i]))
+                start = i
+    assert len(cuts) > 5
+    copies = spark.createDataFrame([(7, text)] * 3, "doc_id long, text string").coalesce(1)
+    assert len({bytes(r["ids"]) for r in pieces.encode(copies, ["doc_id"]).collect()}) == 3
+
+
+def test_what_is_held_equals_merging_with_all_draws(vocabulary, rows):
+    enc = pieces.Encoder(vocabulary, 0.2)
+    for word in ["▁international", "▁the", "▁unbelievable", "x" * 30, "字字", "\n"]:
+        for key in range(40):
+            want, _, _ = vocabulary.merge(word, next(gaps := enc._gaps(key)), gaps)
+            gaps = enc._gaps(key)
+            at, (ids, many) = next(gaps), enc._known(word)
+            got = ids if at >= many else enc._skipping(word, at, gaps, many)[0]
+            assert np.frombuffer(got, np.uint16).tolist() == want
+
+
 def test_held_words_change_nothing(vocabulary, rows, monkeypatch):
     text = rows[80][1]
     want = pieces.Encoder(vocabulary).encode(text)

@@ -1,8 +1,9 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-The agenda of candidate merges is worked off from the best-scored pair on; each candidate is skipped if a hash of seed, variant, word, place and piece falls below the
-dropout rate. The variant is a hash of the document's id, so documents differ in how they cut the same word, reruns agree, and a worker can keep what it has cut.
-Whatever is skipped, the pieces spell the text, so decoding gives it back.
+The agenda of candidate merges is worked off from the best-scored pair on; each candidate of each occurrence of a word is skipped with the dropout rate, independently.
+The draws are a stream keyed by seed, document and copy, taken in the order of the text, so every occurrence is cut anew and reruns agree. What a worker holds is only
+what the draws don't change: how a word is cut if nothing is skipped, or one given candidate alone. Whatever is skipped, the pieces spell the text, so decoding gives it
+back.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from vexil.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED = 0.1, 2, 17
+DROPOUT, SEED = 0.1, 17
 _SPACE = "▁"
-#: Words held a variant and generation: when one is full it becomes the old one, and what is met again moves over.
+#: Cuts held a generation: when one is full it becomes the old one, and what is met again moves over.
 _HELD, _LONGEST = 200_000, 40
+_NEVER = 1 << 62
 _CHUNKS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 
 
@@ -59,10 +61,12 @@ class Pieces:
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cuts_lines = not any("\n" in p for p in self.ids)
 
-    def merge(self, chunk: str, key: int, rate: float) -> list[int]:
-        """Ids of one chunk. key: of seed, variant and chunk; a rate of 0 skips nothing."""
-        n = len(chunk)
-        below = int(rate * 2**32)
+    def merge(self, chunk: str, at: int = _NEVER, gaps: Iterator[int] | None = None) -> tuple[list[int], int, int]:
+        """Ids of one chunk, how many candidates it had, and how many after them the next skip is away.
+
+        The candidate at place `at`, in the order they are worked off, is skipped; gaps has how many lie between it and the next one skipped (None: no other is).
+        """
+        n, met = len(chunk), 0
         word = list(chunk)
         rank, pop, push = self.rank.get, heapq.heappop, heapq.heappush
         agenda = [(s, i, i + 1, pair) for i in range(n - 1) if (s := rank(pair := chunk[i : i + 2])) is not None]
@@ -74,7 +78,9 @@ class Pieces:
             # stale if either side has grown or gone since
             if len(word[i]) + len(word[j]) != len(pair) or right[i] != j:
                 continue
-            if below and ((key ^ (i * 0x9E3779B1 + s * 0x85EBCA6B)) * 0xD6E8FEB86659FD93 >> 29) & 0xFFFFFFFF < below:
+            met += 1
+            if met > at:
+                at = _NEVER if gaps is None else met + next(gaps)
                 continue
             word[i], word[j] = pair, ""
             k = right[i] = right[j]
@@ -90,7 +96,7 @@ class Pieces:
             if w:
                 known = ids(w)
                 out += [known] if known is not None else [self.bytes[b] for b in w.encode()]
-        return out
+        return out, met, at - met
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that encode() was given; its first space is the one that encoding put there."""
@@ -98,49 +104,67 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes with one rate and seed; keeps the ids of the chunks it has met, up to a bound."""
+    """Encodes with one rate and seed; holds cuts that it has met, up to a bound, of words (none skipped) and of (word, place of the one candidate skipped)."""
 
-    def __init__(self, pieces: Pieces, rate: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> None:
-        self.pieces, self.rate, self.variants, self.seed = pieces, rate, variants, seed
+    def __init__(self, pieces: Pieces, rate: float = DROPOUT, seed: int = SEED) -> None:
+        self.pieces, self.rate, self.seed = pieces, rate, seed
         self.code = "H" if pieces.dtype == np.uint16 else "I"
-        self.held: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, doc: object) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=4).digest()) % self.variants
-
-    def _chunk(self, chunk: str, variant: int) -> bytes:
-        """Ids of a chunk that the present generation doesn't hold: of the old one, or put together from what lies between its cuts."""
-        if not chunk:
-            return b""
-        held, old = self.held[variant], self.old[variant]
-        if len(held) >= _HELD:
-            old = self.old[variant] = dict(held)
-            held.clear()
-        if chunk in old:
-            held[chunk] = old[chunk]
-            return old[chunk]
-        joined, out, start = self.pieces.joined, [], 0
+        self.held: dict[str | tuple[str, int], tuple[bytes, int]] = {}
+        self.old: dict[str | tuple[str, int], tuple[bytes, int]] = {}
+
+    def variant(self, doc: object, copy: int = 0) -> int:
+        """The key of a document's draws; further copies of it have others."""
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}{f':{copy}' if copy else ''}".encode(), digest_size=8).digest())
+
+    def _gaps(self, key: int) -> Iterator[int]:
+        """How many candidates are taken before each that is skipped."""
+        draws = np.random.PCG64([self.seed, key])
+        with np.errstate(divide="ignore"):
+            per = np.log1p(-np.float64(self.rate))
+        while True:
+            u = (draws.random_raw(128) >> np.uint64(11)) * 2.0**-53
+            yield from np.minimum(np.log1p(-u) / per, 2**53).astype(np.int64).tolist()
+
+    def _known(self, chunk: str, at: int = _NEVER) -> tuple[bytes, int]:
+        """Ids and number of candidates of a chunk of which the candidate at `at` alone is skipped."""
+        key = chunk if at == _NEVER else (chunk, at)
+        got = self.held.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                ids, many, _ = self.pieces.merge(chunk, at)
+                got = array(self.code, ids).tobytes(), many
+            if len(self.held) >= _HELD:
+                self.old, self.held = self.held, {}
+            self.held[key] = got
+        return got
+
+    def _parts(self, chunk: str) -> Iterator[str]:
+        """A long chunk cut where no piece reaches across."""
+        start, joined = 0, self.pieces.joined
         for i in range(1, len(chunk) + 1):
             if chunk[i - 1 : i + 1] not in joined:
-                part = chunk[start:i]
+                yield chunk[start:i]
                 start = i
-                ids = held.get(part) or old.get(part)
-                if ids is None:
-                    data = part.encode()
-                    key = zlib.crc32(data, self.seed) << 32 | zlib.crc32(data, self.seed + 7919 * (variant + 1))
-                    ids = array(self.code, self.pieces.merge(part, key, self.rate)).tobytes()
-                    if len(part) <= _LONGEST:
-                        held[part] = ids
-                out.append(ids)
-        ids = b"".join(out)
-        if len(out) > 1 and len(chunk) <= _LONGEST:
-            held[chunk] = ids
-        return ids
+
+    def _skipping(self, chunk: str, at: int, gaps: Iterator[int], many: int | None) -> tuple[bytes, int]:
+        """Ids of a chunk and how far the next skip is after it. many: its candidates if none is skipped, where that is known."""
+        if many is None:
+            ids, _, at = self.pieces.merge(chunk, at, gaps)
+            return array(self.code, ids).tobytes(), at
+        then = at + 1 + next(gaps)
+        ids, many = self._known(chunk, at)
+        if then >= many:
+            return ids, then - many
+        both = itertools.chain([then - at - 1], gaps)
+        ids, _, at = self.pieces.merge(chunk, at, both)
+        return array(self.code, ids).tobytes(), at
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        """Ids of the text with a space before it. A literal U+2581 is spelled in bytes, so it isn't taken for a space."""
-        get, out = self.held[variant].get, []
+        """Ids of the text with a space before it; variant: the key of its draws. A literal U+2581 is spelled in bytes, so it isn't taken for a space."""
+        out: list[bytes] = []
+        gaps = self._gaps(variant) if self.rate > 0 else None
+        at = next(gaps) if gaps else _NEVER
         for i, part in enumerate((" " + text).split(_SPACE)):
             if i:
                 out.append(np.array([self.pieces.bytes[b] for b in _SPACE.encode()], self.pieces.dtype).tobytes())
@@ -150,34 +174,47 @@ class Encoder:
             else:
                 part = part.replace(_SPACE, "\x00" + _SPACE)
                 chunks = (part.replace("\n", "\x00\n\x00") if self.pieces.cuts_lines else part).split("\x00")
-            out += [get(c) or self._chunk(c, variant) for c in chunks]
+            for c in chunks:
+                for w in (c,) if len(c) <= _LONGEST else self._parts(c):
+                    many = None
+                    if len(w) <= _LONGEST:
+                        ids, many = self.held.get(w) or self._known(w)
+                        if at >= many:
+                            at -= many
+                            out.append(ids)
+                            continue
+                    ids, at = self._skipping(w, at, gaps, many)
+                    out.append(ids)
         return np.frombuffer(b"".join(out), self.pieces.dtype)
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, rate: float, variants: int, seed: int) -> Encoder:
+def _encoder(path: str, rate: float, seed: int) -> Encoder:
     """One a worker process, so that what it has cut serves later tasks."""
-    return Encoder(Pieces(path), rate, variants, seed)
+    return Encoder(Pieces(path), rate, seed)
 
 
-def encode(docs: DataFrame, keep: list[str], path: str = MODEL, rate: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, keep: list[str], path: str = MODEL, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """docs' columns `keep` with n_tokens, ids (little-endian numbers of the vocabulary's width), ids_sha256 and lossless: whether decoding gave the text back.
 
-    docs needs doc_id and text. A null text has 0 tokens, empty ids and lossless true; an empty text has the one id of its leading space. No shuffle; the model
+    docs needs doc_id and text. Rows of equal doc_id that follow each other, as mixing's copies do, are cut by draws of their own. A null text has 0 tokens, empty ids and lossless true; an empty text has the one id of its leading space. No shuffle; the model
     file must be at `path` on every executor.
     """
     small_batches(docs.sparkSession)
     own = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(path, rate, variants, seed)
+        enc = _encoder(path, rate, seed)
+        before, copy = object(), 0
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.pop("__doc"), pdf.pop("__text"), strict=True):
+                copy = copy + 1 if doc == before else 0
+                before = doc
                 if text is None:
                     rows.append((0, b"", hashlib.sha256(b"").hexdigest(), True))
                     continue
-                ids = enc.encode(text, enc.variant(doc))
+                ids = enc.encode(text, enc.variant(doc, copy))
                 data = ids.tobytes()
                 rows.append((len(ids), data, hashlib.sha256(data).hexdigest(), enc.pieces.decode(ids) == text))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "lossless"])], axis=1)
