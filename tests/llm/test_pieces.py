@@ -49,22 +49,57 @@ def test_every_occurrence_and_copy_is_cut_anew(spark, vocabulary):
     assert len({bytes(r["ids"]) for r in pieces.encode(copies, ["doc_id"]).collect()}) == 3
 
 
-def test_what_is_held_equals_merging_with_all_draws(vocabulary, rows):
-    enc = pieces.Encoder(vocabulary, 0.2)
-    for word in ["▁international", "▁the", "▁unbelievable", "x" * 30, "字字", "\n"]:
-        for key in range(40):
-            want, _, _ = vocabulary.merge(word, next(gaps := enc._gaps(key)), gaps)
-            gaps = enc._gaps(key)
-            at, (ids, many) = next(gaps), enc._known(word)
-            got = ids if at >= many else enc._skipping(word, at, gaps, many)[0]
-            assert np.frombuffer(got, np.uint16).tolist() == want
-
-
-def test_held_words_change_nothing(vocabulary, rows, monkeypatch):
-    text = rows[80][1]
-    want = pieces.Encoder(vocabulary).encode(text)
-    monkeypatch.setattr(pieces, "_HELD", 5)
-    assert (pieces.Encoder(vocabulary).encode(text) == want).all()
+def naive(vocabulary, word, key, rate):
+    """Merge-dropout spelled out: look for the best pair that wasn't skipped, draw, merge or skip, until none is left."""
+    parts, skipped, met = [(c, i) for i, c in enumerate(word)], set(), 0
+    while True:
+        open_ = [(vocabulary.rank[x + y], i, j) for (x, i), (y, j) in zip(parts, parts[1:]) if x + y in vocabulary.rank and (x, i, y, j) not in skipped]
+        if not open_:
+            break
+        _, i, j = min(open_)
+        at = next(n for n, p in enumerate(parts) if p[1] == i)
+        (x, _), (y, _) = parts[at : at + 2]
+        if int(pieces.draws(np.array([key], np.uint64), met)[0]) < rate * 2**53:
+            skipped.add((x, i, y, j))
+        else:
+            parts[at : at + 2] = [(x + y, i)]
+        met += 1
+    out = []
+    for x, _ in parts:
+        out += [vocabulary.ids[x]] if x in vocabulary.ids else [vocabulary.bytes[b] for b in x.encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.4])
+def test_every_occurrence_equals_the_agenda_spelled_out(vocabulary, rows, rate):
+    enc = pieces.Encoder(vocabulary, rate)
+    texts = ["", " ", "  two  blanks ", "a▁b ▁ c", "line\nline\n\n x", "日本語 と 中国 🙂", "x" * 60, *(r[1][:500] for r in rows if r[1])]
+    keys = [enc.variant(i, i % 3) for i in range(len(texts))]
+    for text, key, got in zip(texts, keys, enc.encode_many(texts, keys), strict=True):
+        units = [u for u in enc.units(" " + text) if u]
+        own = pieces.mix64(np.arange(len(units), dtype=np.uint64) * np.uint64(pieces._PLACE) + np.uint64(key))
+        want = []
+        for u, k in zip(units, own.tolist(), strict=True):
+            want += [vocabulary.bytes[b] for b in "▁".encode()] if u == pieces._LITERAL else naive(vocabulary, u, k, rate)
+        assert got.tolist() == want
+
+
+def test_group_and_block_sizes_change_nothing(vocabulary, rows, monkeypatch):
+    texts = [r[1] for r in rows if r[1]]
+    want = [pieces.Encoder(vocabulary).encode(t, 5) for t in texts]
+    monkeypatch.setattr(pieces, "_GROUP", 50)
+    monkeypatch.setattr(pieces, "_BLOCK", 7)
+    enc = pieces.Encoder(vocabulary)
+    assert all((a == b).all() for a, b in zip(want, enc.encode_many(texts, [5] * len(texts)), strict=True))
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    text = "some international words " * 20
+    made = [(None, text, 1, 2), (None, None, 3, 4), (4, text, 5, 6), (4, text, 5, 6), (5, "", 7, 8)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, n_tokens int, ids int").coalesce(1)
+    got = pieces.encode(docs, ["doc_id"]).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 4, 4, 5] and all(r["lossless"] for r in got)
+    assert sorted(r["n_tokens"] for r in got)[:2] == [0, 1]
 
 
 def test_operator(docs, rows, empty):
