@@ -53,6 +53,40 @@ def test_profile_against_brute_force(spark):
     assert got == want
 
 
+def brute_judge(profiles, text):
+    """Out-of-place distance spelled out: places of the text's most frequent n-grams against each profile; an n-gram that a profile lacks is as far as can be."""
+    n = brute_grams(text)
+    key = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    best = sorted(n, key=lambda g: (-n[g], key(g)))[: langid.TEXT_RANKS]
+    off = {}
+    for lang, ranked in profiles.items():
+        off[lang] = sum(min(langid.RANKS, abs(ranked[key(g)] - i)) if key(g) in ranked else langid.RANKS for i, g in enumerate(best))
+    lang = min(sorted(off), key=off.get)
+    return lang, 1 - off[lang] / (langid.RANKS * len(best))
+
+
+def test_distance_and_score_against_brute_force(docs, rows):
+    profiles = [tuple(r) for r in langid.train(docs).select("lang", "rank", "gram").collect()]
+    held = langid.Profiles(profiles)
+    ranked = {}
+    for lang, rank, gram in profiles:
+        ranked.setdefault(lang, {})[gram] = rank
+    for r in rows[:82]:
+        if r[1] and any(c.isalpha() for c in r[1]):
+            want, got = brute_judge(ranked, r[1][:4000]), held.judge(r[1][:4000])
+            assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-12
+
+
+def test_clashing_names_null_and_repeated_ids(spark):
+    made = [(None, "der die das und", "de", 1, 2), (3, "the and of", "en", 1, 2), (3, "the and of", "en", 1, 2), (4, None, None, 1, 2)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, score int, lang_pred int")
+    out = langid.predict(df, langid.train(df))
+    assert out.columns == [*df.columns, "lang_pred_2", "score_2"]
+    assert sorted((str(r["doc_id"]), r["lang_pred"], r["lang_pred_2"]) for r in out.collect()) == [("3", 2, "en"), ("3", 2, "en"), ("4", 2, "und"), ("None", 2, "de")]
+    got = langid.identify(df).collect()
+    assert len(got) == 4 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+
+
 def test_stage_keeps_columns_and_clean_rows(docs, rows):
     out = langid.keep_identified(docs)
     assert out.columns == docs.columns

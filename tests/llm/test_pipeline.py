@@ -27,5 +27,13 @@ def test_stages_follow_on(spark, docs, rows, tmp_path):
         kept = out
     assert set(counts["language_id"]) == set(counts["line_dedup"]) == {r[0] for r in rows if r[1] and re.search("[a-zA-Z]", r[1])}
     assert 72 not in counts["near_dedup"] and 79 not in counts["near_dedup"] and 60 in counts["near_dedup"]
-    whole = corpus_pipeline.run(spark, str(tmp_path))
-    assert Counter(r["doc_id"] for r in whole.collect()) == counts["encoding"]
+
+
+def test_empty_table_and_repeated_rows(spark, docs, rows, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/e/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+    some = docs.filter("doc_id in (3, 4, 74, 75)")
+    some.union(some).coalesce(1).write.parquet(f"{tmp_path}/r/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/r").collect()
+    kept = some.filter("doc_id in (3, 4)")
+    assert Counter(r["doc_id"] for r in got) == Counter({r["doc_id"]: r["copies"] for r in mixing.plan(kept).collect() if r["copies"]}) and all(r["lossless"] for r in got)

@@ -7,12 +7,14 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexil.sources.shared import fresh_path, maybe_broadcast, shared_dir, stash
 
-__all__ = ["fresh_path", "hash_words", "lower_ascii", "lower_str", "maybe_broadcast", "mix64", "shared_dir", "shingle_sets", "small_batches", "stash"]
+__all__ = [
+    "free_name", "fresh_path", "hash_words", "lower_ascii", "lower_str", "maybe_broadcast", "mix64", "parts", "shared_dir", "shingle_sets", "small_batches", "stash", "whole",
+]
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -36,6 +38,22 @@ def lower_str(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def whole(rows: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that names of an operator's own can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias(name)
+
+
+def parts(rows: DataFrame, name: str = "row") -> list[Column]:
+    """The columns of rows out of that struct."""
+    return [F.col(f"{name}.`{c}`").alias(c) for c in rows.columns]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or name_2, name_3 and so on if columns are called so, in whatever case."""
+    used = {c.lower() for c in taken}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(2, len(used) + 3))) if n.lower() not in used)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of fewer rows, so that a batch of long texts stays small; a session's own setting stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     edges = stash(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    for _ in range(0 if edges.isEmpty() else most_rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,5 +30,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             break
         seen = now
     else:
-        raise RuntimeError("components didn't settle")
+        if seen:
+            raise RuntimeError("components didn't settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vexil.llm.common import small_batches, stash
+from vexil.llm.common import free_name, parts, small_batches, stash, whole
 
 #: n-grams of 1 to 3 letters (words padded by blanks); so many ranks a profile; so many of a text.
 GRAMS, RANKS, TEXT_RANKS = 3, 400, 300
@@ -135,8 +135,11 @@ class Profiles:
         return self.langs[i], float(1.0 - off[i] / (self.ranks * len(best)))
 
 
-def predict(docs: DataFrame, profiles: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with two more columns, the predicted language and its closeness, from docs.text alone.
+def predict(docs: DataFrame, profiles: DataFrame, names: tuple[str, str] | None = ("lang_pred", "score"), least: float | None = None) -> DataFrame:
+    """docs with two more columns, the predicted language and its closeness, from docs.text alone; with `least`, only rows that have a language and are as close.
+
+    Columns of the input that are called so stay, and the new one is called name_2; without names none is added. Long texts are judged whole; a tie goes to the
+    first language by name.
 
     The profiles (ranks times languages, so bounded by the labels in use) are gathered and sent with the task; null texts and texts without letters are `und`
     with score 0. An empty training table leaves `und` everywhere.
@@ -151,8 +154,11 @@ def predict(docs: DataFrame, profiles: DataFrame, names: tuple[str, str] = ("lan
         for batch in texts:
             yield pd.DataFrame([model.value.judge(t) for t in batch], columns=["lang", "score"])
 
-    out = docs.withColumn("__said", judge(F.col("text")))
-    return out.withColumn(names[0], F.col("__said.lang")).withColumn(names[1], F.col("__said.score")).drop("__said")
+    out = docs.select(whole(docs), judge(F.col("text")).alias("said"))
+    if least is not None:
+        out = out.filter((F.col("said.lang") != "und") & (F.col("said.score") >= least))
+    said_as = [F.col(f"said.{c}").alias(free_name(n, docs.columns)) for c, n in zip(("lang", "score"), names, strict=True)] if names else []
+    return out.select(*parts(docs), *said_as)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
@@ -167,7 +173,9 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """Of docs, with their columns, those whose text has a language: texts without letters, or closer than `least` to no profile, go."""
-    profiles = stash(train(docs), "profiles")
-    judged = predict(docs, profiles, ("__lang", "__score"))
-    return judged.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+    """Of docs(text, lang, ...), with their columns, those whose text has a language: texts without letters, or closer than `least` to no profile, go.
+
+    Null and empty texts have no letters. Repeated rows are judged alike; a null lang isn't learned from; if no row has one, nothing has a language and all go. An empty
+    table gives no rows.
+    """
+    return predict(docs, stash(train(docs), "profiles"), None, least)

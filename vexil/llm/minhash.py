@@ -20,8 +20,8 @@ PERMS, BAND_ROWS = 80, 5
 BANDS = 2 * PERMS // BAND_ROWS
 #: Rounds of comparing with one head a bucket; different heads a group and round.
 ROUNDS, HEADS = 3, 4
-#: A shingle is rare if at most so many of the documents left have it. The bound holds for any number; a larger one leaves fewer pairs to confirm.
-RARE = 256
+#: Members of a bucket that are dealt together; a larger bucket has several parts, and its head goes to each.
+PART = 1024
 _CHUNK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 2**64, PERMS, dtype=np.uint64)
@@ -74,29 +74,56 @@ def _sketch(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [s.view(np.int64) for s in shingle_sets(pdf["text"].tolist(), width)]})
+            sets = list(shingle_sets(pdf["text"].tolist(), width))
+            one = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "d1": one, "shingles": [s.view(np.int64) for s in sets]})
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) those with 100 * intersection >= percent * union of their full sets. Sets are made again from the text, of the documents in pairs only."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    some = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count(), 32), "doc_id", "left_semi")
-    sets = stash(some.mapInPandas(_sets(width), "doc_id long, shingles array<long>"), "sets")
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+def _sized(ids: DataFrame) -> DataFrame:
+    ids = stash(ids, "ids")
+    return maybe_broadcast(ids, ids.count(), 32)
+
+
+def _of(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of some ids."""
+    return sets.join(_sized(ids), "doc_id", "left_semi")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) those with 100 * intersection >= percent * union of their full sets."""
+    some = stash(_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), sets), "sets")
+    with_b = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_b.join(some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
-def _rare(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(rep, rare): for each id those of its shingles that at most RARE of these documents have, as an array."""
-    some = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count(), 32), "doc_id", "left_semi")
-    sets = some.mapInPandas(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("s"))
-    sets = stash(sets, "shingles")
-    few = sets.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE).select("s")
-    return sets.join(few, "s").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("s").alias("rare"))
+def _fits(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of left(rep, n, comp) across components that can reach the similarity: all that do are among them.
+
+    Under one order of all shingles, rarest first, two sets that are similar enough share one of their first n - ceil(percent / 100 * n) + 1. So only those are joined,
+    and documents meet at shingles that few of them have, not in their buckets.
+    """
+    held = stash(_of(left.select(F.col("rep").alias("doc_id")), sets).select("doc_id", "d1", F.explode("shingles").alias("s")), "shingles")
+    often = held.groupBy("s").agg(F.count("*").alias("df"))
+    order = held.join(often, "s").groupBy(F.col("doc_id").alias("rep"), "d1").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("order"))
+    n = F.size("order")
+    first = order.select("rep", F.explode(F.slice("order", F.lit(1), n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("e"))
+    first = stash(first.filter("e.df > 1").select("rep", "e.s").join(left, "rep"), "prefixes")
+    x, y = (first.select("s", *(F.col(c).alias(c + side) for c in ("rep", "n", "comp"))) for side in "xy")
+    met = x.join(y, "s").filter((F.col("repx") < F.col("repy")) & (F.col("compx") != F.col("compy")) & _fits("nx", "ny", percent))
+    return met.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
+
+
+def _salted(keys: DataFrame) -> DataFrame:
+    """keys(key, parts, ...) as often as the key's bucket has parts."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -104,8 +131,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
 
     Equal sets become one representative, its least doc_id, before any pair is made, so copies cost no pairs. Then, in rounds, every representative in a band
     bucket is compared with one head of the bucket, and what the links join is one component; the heads differ by round, and buckets that hold one component
-    only are done. So a large group of near copies is joined by a few comparisons a member. What is left is compared across the components of each bucket,
-    except pairs that can't reach the similarity even if all shingles agree but the rare ones that only one of the two has; so no link between components is lost.
+    only are done. So a large group of near copies is joined by a few comparisons a member, and a bucket's members are dealt in parts of bounded size. The
+    representatives left in buckets of several components are compared across components where they share one of their rarest shingles; that bound is exact,
+    so no link between components that share a band is lost. Sets of all representatives in shared buckets are made once.
 
     Texts that are null, empty or without words have n_shingles 0, stand alone and are kept. A null doc_id is linked with nothing: component_id null, kept true.
     Rows that share a doc_id are one document with several texts. An empty table gives no rows.
@@ -116,42 +144,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     rows = made.filter("n_shingles > 0 and doc_id is not null")
     reps = stash(rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("d1", "d2", "r.*"), "reps")
     banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stash(banded.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "buckets")
-
-    def fits(x: str, y: str) -> Column:
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    # written first, so that the join has two plain sides and AQE can split a hot key
+    members = banded.join(stash(shared, "shared"), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    members = stash(members.select("key", "parts", "salt", "rep", "n", F.col("rep").alias("comp")), "buckets")
+    # of rows that share a doc_id each is a representative of its own set; the links are the document's
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sized(members.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = stash(some.mapInPandas(_sets(width), "doc_id long, d1 long, shingles array<long>"), "sets")
 
     def still_open(held: DataFrame) -> DataFrame:
-        keys = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        return stash(held.join(keys, "key", "left_semi").select("key", "rep", "n", "comp"), "buckets")
+        keys = held.groupBy("key", "parts").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "parts")
+        return stash(held.join(_salted(stash(keys, "open")), ["key", "salt"], "left_semi").select(held.columns), "buckets")
 
     tried = links = None
     for k in range(rounds):
         # the first heads are the least ids, the same in all buckets of a group; later ones are drawn by a hash, a few a group
         lot = F.xxhash64("rep", F.lit(k), F.pmod("key", F.lit(HEADS))) if k else F.col("rep")
-        heads = members.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "rep", "n", "comp")).alias("h"))
-        met = members.join(heads, "key").filter((F.col("comp") != F.col("h.comp")) & fits("n", "h.n"))
+        heads = members.groupBy("key", "parts").agg(F.min(F.struct(lot.alias("lot"), "rep", "n", "comp")).alias("h"))
+        met = members.join(_salted(stash(heads, "heads")), ["key", "salt"]).filter((F.col("comp") != F.col("h.comp")) & _fits("n", "h.n", percent))
         pairs = met.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
         pairs = stash(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-        found = stash(_confirm(pairs, docs, width, percent), "links")
+        found = stash(_confirm(pairs, sets, percent), "links")
         tried, links = (tried.union(pairs), links.union(found)) if tried else (pairs, found)
         joined = stash(components(links), "components")
         members = members.drop("comp").join(joined, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-        members = still_open(members)
+        members = still_open(members.select("key", "parts", "salt", "rep", "n", "comp"))
         if members.isEmpty():
             break
-    ids = stash(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    rest = members.join(stash(_rare(ids, docs, width), "rare"), "rep", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
-    x, y = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "comp", "rare"))) for s in "xy")
-    both = F.size(F.array_intersect("rarex", "rarey"))
-    # a rare shingle that only one of them has isn't common to them
-    most = F.least(F.col("nx") - F.size("rarex"), F.col("ny") - F.size("rarey")) + both
-    reach = (100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))
-    last = x.join(y, "key").filter((F.col("repx") < F.col("repy")) & (F.col("compx") != F.col("compy")) & fits("nx", "ny") & reach)
-    last = last.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _confirm(stash(last, "pairs"), docs, width, percent)
-    final = components(links.union(more))
+    left = stash(members.select("rep", "n", "comp").distinct(), "left")
+    last = stash(_prefix_pairs(left, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    final = components(links.union(_confirm(last, sets, percent)))
     of_rep = reps.select("d1", "d2", F.col("doc_id").alias("rep")).join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = made.select("doc_id", "n_shingles", "d1", "d2").join(of_rep, ["d1", "d2"], "left")
     alone_ = F.col("n_shingles") == 0

@@ -105,7 +105,7 @@ with p as (
 t as (select site, count(*) as pages from p group by 1),
 d as (
   select s.site, s.l from (select site, l, count(*) as n from (select distinct page_id, site, unnest(lines) as l from p) group by 1, 2) s
-  join t on t.site is not distinct from s.site where n >= 5 and n > pages * 0.3::double),
+  join t on t.site is not distinct from s.site where n > 1 and n > pages * 0.3::double),
 g as (select site, list(l) as gone from d group by 1),
 k as (select page_id, p.site, lines, case when gone is null then lines else [x for x in lines if not list_contains(gone, x)] end as kept from p left join g on g.site is not distinct from p.site)
 select page_id, site, len(lines) as n_lines, len(lines) - len(kept) as n_dropped, md5(coalesce(array_to_string(kept, chr(10)), '')) as kept_md5 from k
