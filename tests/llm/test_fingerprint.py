@@ -9,7 +9,7 @@ from vexil.llm import fingerprint as fp
 def paragraphs(text):
     out = []
     for line in text.split("\n"):
-        out += re.split(r"(?<=[.!?]) ", line) if len(line) > fp.LONG_LINE else [line]
+        out += re.split(r"(?<=[.!?]) ", line)
     return {x for x in out if x}
 
 
@@ -55,5 +55,16 @@ def test_next_row_over_many_buckets(spark, monkeypatch):
         assert got[r] == order[(at + 1) % len(order)][1]
 
 
+def test_null_and_repeated_ids_and_long_lines(spark):
+    """A line of any length is cut after its sentences, so one character more changes one digest only."""
+    line = "A first sentence. " * 40 + "The end"
+    made = [(1, line), (2, line + "s"), (2, line + "s"), (None, "x. y"), (None, None), (3, "z" * 100_000)]
+    df = spark.createDataFrame([(*r, "clash") for r in made], "doc_id long, text string, items string")
+    got = fp.compare(df).collect()
+    assert len(got) == len(made) and all(0 <= r["near_next"] <= 1 for r in got)
+    by = {(r["doc_id"], r["n_chars"]): r for r in got}
+    assert by[2, len(line) + 1]["n_items"] == by[1, len(line)]["n_items"] == 2 and by[None, 0]["fingerprint"] == "" and by[None, 4]["n_items"] == 2
+
+
 def test_empty(empty):
     assert fp.compare(empty).count() == 0

@@ -61,6 +61,36 @@ def test_attention_is_causal_and_skips_padding(model):
     assert np.allclose(m.log_probs(later, goal)[0, :10], a)
 
 
+def naive_score(m, ids):
+    """log10 probability of a list of ids, a token at a time: attention over what its window shows, then group, slot, and id in it."""
+    w, slots, total = m.weights, m.slot[ids], 0.0
+    known = [lm.START, *slots[:-1].tolist()]
+    for t, (i, s) in enumerate(zip(ids.tolist(), slots.tolist(), strict=True)):
+        first = max(0, t // lm.STRIDE * lm.STRIDE - lm.CONTEXT)
+        seen = range(first, t + 1)
+        at = [math.exp(float(w.q[known[t]] @ w.k[known[j]]) / lm.WIDTH**0.5 + float(w.far[t - j])) for j in seen]
+        out = sum(a * w.v[known[j]].astype(float) for a, j in zip(at, seen, strict=True)) / sum(at)
+        group, place = divmod(s, lm.GROUP)
+        one = m.base1[known[t]].astype(float) + out @ w.w1
+        two = m.base2[group][known[t]].astype(float) + out @ w.w2[group]
+        total += one[group] - math.log(np.exp(one).sum()) + two[place] - math.log(np.exp(two).sum()) + float(m.inside[i])
+    return total / math.log(10)
+
+
+def test_scores_equal_a_forward_pass_a_token_at_a_time(model):
+    m, ids = model
+    some = [ids[75], ids[3], ids[60], ids[80][:300]]
+    assert max(map(len, some)) > 3 * lm.STRIDE
+    assert m.scores(some) == pytest.approx([naive_score(m, x) for x in some], rel=1e-4)
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    made = [(None, "a b c", 1.0, 2), (1, "a b", 1.0, 2), (1, "a b", 1.0, 2), (2, None, 1.0, 2)]
+    got = lm.train_and_score(spark.createDataFrame(made, "doc_id long, text string, score double, row int").select("doc_id", "text")).collect()
+    assert len(got) == 4 and all(math.isfinite(r["score"]) for r in got)
+    assert [(r["held_out"], r["n_tokens"]) for r in got if r["doc_id"] is None] == [(False, 4)]
+
+
 def test_gradient_equals_differences(model):
     m, ids = model
     known, goal, _ = lm.windows([m.slot[x] for x in ids[:3]])

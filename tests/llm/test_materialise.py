@@ -37,5 +37,14 @@ def test_shards_hold_every_sequence_once(spark, docs, rows, tmp_path):
     assert {(r["slot"], r["crc"]) for r in again} == {(r["slot"], r["crc"]) for r in got}
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    made = [(None, "a b c " * 200), (1, "x"), (1, "x"), (None, None), (2, "")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    got = mt.materialise(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/out", length=64, span=4).collect()
+    vocabulary = mt.tokens(mt.RANKS)
+    assert sorted(r["slot"] for r in got) == list(range(len(got))) and len(got) == sum(-(-len(vocabulary.encode(t or "")) // 128) for _, t in made)
+    assert [r["n_tokens"] for r in got if r["doc_id"] == 2] == [1] and sum(r["doc_id"] == 1 for r in got) == 2
+
+
 def test_empty(spark, empty):
     assert mt.materialise(empty.select("doc_id", "text")).count() == 0

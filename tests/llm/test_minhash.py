@@ -84,3 +84,13 @@ def test_signatures_are_minima_and_maxima():
     sig = minhash.signatures([x, x[:3]])
     h = (x ^ minhash._XOR[4]) * minhash._MUL[4]
     assert sig[0, 4] == h.min() and sig[0, minhash.PERMS + 4] == h.max() and sig[1, 4] == h[:3].min()
+
+
+def test_bits_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, changed in ((40, 3), (400, 60), (900, 0)):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[changed:], rng.integers(0, 2**63, changed, dtype=np.uint64)])
+        a, b = minhash.odd_bits(common.mix64(x)), minhash.odd_bits(common.mix64(y))
+        differ = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+        assert differ <= 2 * changed and (changed == 0 or differ > 0)

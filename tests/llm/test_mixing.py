@@ -47,5 +47,14 @@ def test_taken_comes_near_the_target(spark):
         assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.06
 
 
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    made = [(None, "a b", None, 1, 2), (None, "a b", None, 1, 2), (3, "c", "s", 1, 2), (3, "c", "s", 1, 2), (4, None, "s", 1, 2)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, copies int, target int")
+    plan = mixing.plan(df).collect()
+    assert len(plan) == 5 and len({r["copies"] for r in plan if r["doc_id"] == 3}) == 1 and [r["size"] for r in plan if r["doc_id"] == 4] == [0]
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "copy_no"] and {(r["copies"], r["target"]) for r in mixed.collect()} == {(1, 2)}
+
+
 def test_empty(empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0

@@ -35,5 +35,5 @@ def test_empty_table_and_repeated_rows(spark, docs, rows, empty, tmp_path):
     some = docs.filter("doc_id in (3, 4, 74, 75)")
     some.union(some).coalesce(1).write.parquet(f"{tmp_path}/r/documents.parquet")
     got = corpus_pipeline.run(spark, f"{tmp_path}/r").collect()
-    kept = some.filter("doc_id in (3, 4)")
-    assert Counter(r["doc_id"] for r in got) == Counter({r["doc_id"]: r["copies"] for r in mixing.plan(kept).collect() if r["copies"]}) and all(r["lossless"] for r in got)
+    plan = mixing.plan(some.filter("doc_id in (3, 4)")).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({r["doc_id"]: r["copies"] for r in plan if r["copies"]}) and all(r["lossless"] for r in got)

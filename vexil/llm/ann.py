@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from vexil.llm.common import stash
 
-#: Projections, and the share of them a vector must collide on; first half-width of a window (times the largest norm) and its growth; a window grows until so many
-#: vectors, and this share of the block, are verified.
-PROJECTIONS, THRESHOLD, START, GROWTH, AT_LEAST, VERIFIED = 64, 0.8, 1.0, 1.15, 256, 0.12
-BLOCK, QUERY_BLOCK = 8192, 2048
+#: Projections, and the share of them a vector must collide on; first half-width of a window (times the block's largest norm) and its growth; windows grow until this
+#: share of the block, and what is asked for, is verified.
+PROJECTIONS, THRESHOLD, START, GROWTH, VERIFIED = 64, 0.8, 1.0, 1.15, 0.15
+#: Vectors and queries a block. A block's norms lie within a factor, up to the last of so many classes of norms.
+BLOCK, QUERY_BLOCK, FACTOR, CLASSES = 8192, 2048, 0.9, 32
 _AT_ONCE = 256
 
 
@@ -47,7 +48,7 @@ class Index:
         """
         n, p = len(self.ids), len(self.order)
         at = (queries * (self.bound / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]) @ self.axes[:-1]
-        need, want = int(np.ceil(threshold * p)), min(n, k + 1 + AT_LEAST + int(np.ceil(verified * n)))
+        need, want = int(np.ceil(threshold * p)), min(n, k + 1 + int(np.ceil(verified * n)))
         counts = np.zeros((len(queries), n), np.int16)
         lo = np.stack([s.searchsorted(at[:, i]) for i, s in enumerate(self.sorted)], 1)
         hi = lo.copy()
@@ -79,28 +80,35 @@ class Index:
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK, seed: int = 5) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) for vectors(vec_id, embedding): for each row that `queries` selects its k nearest by inner product, nearest first.
 
-    Every query block meets every vector block; a block pair is one bounded task, and only k rows a query leave it. Vectors null, zero, with null or non-finite
+    Vectors are dealt into blocks by class of norm, then by hash, so that the component that makes inner products distances is small in each. Every query block meets
+    every vector block; a block pair is one bounded task, and only k rows a query leave it. Vectors null, zero, with null or non-finite
     components, of another length than the longest, or without an id take no part. Rows with a query's id are its own. A vec_id that repeats is answered
     once, for its least vector. Equal scores go to the smaller vec_id. An empty table gives no rows.
     """
     rows = stash(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")).filter("vec_id is not null").filter(usable(F.col("v"))), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n, dim, bound, asked = rows.agg(F.count("*"), F.max(F.size("v")), F.sqrt(F.max(norm)), F.sum(queries.cast("int"))).first()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-(asked or 0) // query_block))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    dim, bound, asked = rows.agg(F.max(F.size("v")), F.max(norm), F.sum(queries.cast("int"))).first()
     rows = rows.filter(F.size("v") == F.lit(dim or 0))
-    spread = lambda salt, count: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    held = rows.select(spread(1, blocks).alias("b"), F.lit(False).alias("asks"), "vec_id", "v").select("*", every(query_blocks).alias("qb"))
+    share = F.nanvl(norm / float(bound or 1.0), F.lit(1.0))
+    class_ = F.least(F.lit(CLASSES - 1), F.floor(F.log(F.greatest(share, F.lit(1e-300))) / float(np.log(FACTOR)))).cast("int")
+    sizes = dict(rows.groupBy(class_.alias("c")).count().collect())
+    parts = [max(1, -(-sizes.get(c, 0) // block)) for c in range(CLASSES)]
+    starts = np.cumsum([0, *parts]).tolist()
+    query_blocks = max(1, -(-(asked or 0) // query_block))
+    at = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), class_ + 1)
+    home = (at(starts[:-1]) + F.pmod(F.xxhash64("vec_id", F.lit(1)), at(parts))).cast("int")
+    held_blocks = [b for c, n in sizes.items() for b in range(starts[c], starts[c] + parts[c])] or [0]
+    held = rows.select(home.alias("b"), F.lit(False).alias("asks"), "vec_id", "v").select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
     asks = rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asks = asks.select(spread(2, query_blocks).alias("qb"), F.lit(True).alias("asks"), "vec_id", "v").select("*", every(blocks).alias("b"))
-    bound = float(bound or 1.0)
+    dealt = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int")
+    asks = asks.select(dealt.alias("qb"), F.lit(True).alias("asks"), "vec_id", "v").select("*", F.explode(F.array(*map(F.lit, sorted(held_blocks)))).alias("b"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf["asks"].to_numpy()
         out: list[tuple] = []
         if mine.any() and not mine.all():
             x = np.stack(pdf["v"][~mine].to_list())
-            index = Index(pdf["vec_id"][~mine].to_numpy(), x, bound, seed)
+            index = Index(pdf["vec_id"][~mine].to_numpy(), x, float(np.sqrt(np.einsum("ij,ij->i", x, x).max())), seed)
             owns, asked = pdf["vec_id"][mine].to_numpy(), np.stack(pdf["v"][mine].to_list())
             for i in range(0, len(owns), _AT_ONCE):
                 for own, (ids, score) in zip(owns[i : i + _AT_ONCE], index.search(owns[i : i + _AT_ONCE], asked[i : i + _AT_ONCE], k), strict=True):

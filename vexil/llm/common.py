@@ -10,10 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.sources.shared import fresh_path, maybe_broadcast, shared_dir, stash
+from vexil.sources.shared import drop_since, fresh_path, mark, maybe_broadcast, shared_dir, stash
 
 __all__ = [
-    "free_name", "fresh_path", "hash_words", "lower_ascii", "lower_str", "maybe_broadcast", "mix64", "parts", "shared_dir", "shingle_sets", "small_batches", "stash", "whole",
+    "drop_since", "free_name", "fresh_path", "hash_words", "lower_ascii", "lower_str", "mark", "maybe_broadcast", "mix64", "parts", "shared_dir", "shingle_sets", "small_batches", "stash", "whole",
 ]
 
 WORD = r"[^\x20\x09-\x0D]+"

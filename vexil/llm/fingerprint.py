@@ -1,8 +1,8 @@
 """Document fingerprints by invertible Bloom lookup, with DataFrame functions only.
 
-A text's paragraphs become 64-bit digests. Each digest goes into one cell of each of three tables; a cell holds a count, the exclusive or of its digests, and the
+A text's paragraphs, its lines cut after their sentences, become 64-bit digests. Each digest goes into one cell of each of three tables; a cell holds a count, the exclusive or of its digests, and the
 exclusive or of a second hash of them. Two versions' cells subtract, and what both share cancels. A cell left with one digest (count 1 or -1 and a matching second
-hash) gives that digest away; taking it out of its other cells makes more such cells. If cells remain, the pair is tried again with four times as many.
+hash) gives that digest away; taking it out of its other cells makes more such cells. If cells remain, the pair is tried again with three times as many.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from vexil.llm.common import stash
 
 TABLES, SWEEPS, GROWTH = 3, 5, 3
-#: Cells of the fingerprint that is shown; least cells of a comparison, and more for each digest of the two; a line longer than this is cut after its sentences.
-SHOWN, LEAST, FIRST, LONG_LINE = 12, 24, 0.75, 600
-ROWS_A_BUCKET, MOST_BUCKETS = 256, 1 << 16
+#: Cells of the fingerprint that is shown; least cells of a comparison, and more for each digest of the two.
+SHOWN, LEAST, FIRST = 12, 24, 0.75
+#: Where a paragraph ends: at a line's end, and after a sentence's within a line, in lines of any length.
+PARAGRAPH_END = r"\n|(?<=[.!?]) "
+#: Rows a bucket of neighbours, and the most bounds that a plan carries; a table of more rows has fuller buckets, whose sort spills.
+ROWS_A_BUCKET, MOST_BUCKETS = 1024, 1 << 16
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs (lines; of a long line its sentences) of a text; null counts as empty, and empty paragraphs don't count."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, "(?<=[.!?]) ")).otherwise(F.array(x))))
+    """Distinct digests of the paragraphs (lines, cut after their sentences) of a text; null counts as empty, and empty paragraphs don't count."""
+    parts = F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END)
     return F.array_distinct(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
@@ -128,13 +130,13 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, items) with next_text and next_items, those of the next row by descending doc_id; after the last comes the first.
 
-    Ids are cut into buckets of a few hundred rows at bounds that are ids of the table; a bucket's rows and a copy of the row that follows its last are sorted as one
-    window. So no task holds more than its buckets, and each text is shuffled once (and once more for one row a bucket). Rows of equal id follow by text; null ids
+    Ids are cut into buckets of about a thousand rows at bounds that are ids of the table; a bucket's rows and a copy of the row that follows its last are sorted as one
+    window. So no task holds more than its buckets (beyond 67 million rows there are 65,536 fuller ones), and each text is shuffled once (and once more for one row a bucket). Rows of equal id follow by text; null ids
     come last, and if all ids are null nothing follows the last row.
     """
     n, top = docs.agg(F.count("doc_id"), F.max("doc_id")).first()
     parts = max(1, min(MOST_BUCKETS, -(-n // ROWS_A_BUCKET)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * MOST_BUCKETS)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 16 * parts)).first()[0] or []
     bounds = sorted({*(cuts if parts > 1 else []), *([top] if top is not None else [])}) or [0]
     bucket = _bucket(F.col("doc_id"), bounds)
     known = docs.withColumn("bucket", bucket)

@@ -98,7 +98,7 @@ class Weights:
         out, at = [], 0
         for shape in _SHAPES:
             size = int(np.prod(shape))
-            out.append(flat[at : at + size].reshape(shape).astype(np.float32))
+            out.append(flat[at : at + size].reshape(shape).astype(np.float32, copy=False))
             at += size
         return Weights(*out)
 
@@ -107,9 +107,14 @@ _SHAPES = [x.shape for x in vars(Weights.start()).values()]
 
 
 def _summed(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
-    """grad's rows summed by slot."""
-    at = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    return np.bincount(at.ravel(), grad.ravel(), (SLOTS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+    """grad's rows summed by slot: sorted by slot, then added up a run at a time."""
+    rows = rows.ravel().astype(np.uint16)
+    order = rows.argsort(kind="stable")
+    sorted_ = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    out = np.zeros((SLOTS + 2, grad.shape[-1]), np.float32)
+    out[sorted_[first]] = np.add.reduceat(grad.reshape(len(rows), -1).take(order, 0), first, axis=0)
+    return out
 
 
 @dataclass
@@ -190,32 +195,46 @@ class Model:
         p *= (known != PAD)[:, None, :]
         p /= total
         real = np.flatnonzero(goal.ravel() >= 0)
-        asks, seen, y = asks2.ravel()[real], seen2.reshape(-1, WIDTH)[real], goal.ravel()[real]
-        n, every = np.float32(len(real)), np.arange(len(real))
+        asks, seen, y = asks2.ravel().take(real), seen2.reshape(-1, WIDTH).take(real, 0), goal.ravel().take(real)
+        n = np.float32(1 / max(1, len(real)))
         group, place = np.divmod(y, GROUP)
-        d1 = np.exp(self.base1[asks] + seen @ w.w1)
+        d1 = self.base1.take(asks, 0)
+        d1 += seen @ w.w1
+        np.exp(d1, out=d1)
         d1 /= d1.sum(1, keepdims=True)
-        d1[every, group] -= 1
-        dw1, dseen = seen.T @ d1 / n, d1 @ w.w1.T
+        d1[np.arange(len(real)), group] -= 1
+        d1 *= n
+        dw1, dseen = seen.T @ d1, d1 @ w.w1.T
         dw2 = np.zeros_like(w.w2)
+        order = group.astype(np.uint8).argsort(kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
         for g in range(GROUPS):
-            some = np.flatnonzero(group == g)
+            some = order[ends[g] : ends[g + 1]]
             if len(some):
-                d2 = np.exp(self.base2[g].take(asks[some], 0) + seen[some] @ w.w2[g])
+                own = seen.take(some, 0)
+                d2 = self.base2[g].take(asks.take(some), 0)
+                d2 += own @ w.w2[g]
+                np.exp(d2, out=d2)
                 d2 /= d2.sum(1, keepdims=True)
-                d2[np.arange(len(some)), place[some]] -= 1
-                dw2[g] = seen[some].T @ d2 / n
+                d2[np.arange(len(some)), place.take(some)] -= 1
+                d2 *= n
+                dw2[g] = own.T @ d2
                 dseen[some] += d2 @ w.w2[g].T
         dout = np.zeros((goal.size, WIDTH), np.float32)
-        dout[real] = dseen / n
+        dout[real] = dseen
         dout = dout.reshape(*goal.shape, WIDTH)
-        dv = p.transpose(0, 2, 1) @ dout
-        dp = dout @ w.v[known].transpose(0, 2, 1)
-        ds = p * (dp - (p * dp).sum(2, keepdims=True))
+        dkv = np.empty((*known.shape, 2 * WIDTH), np.float32)
+        np.matmul(p.transpose(0, 2, 1), dout, out=dkv[..., WIDTH:])
+        # the softmax's own term is the product of what came out with its gradient
+        ds = dout @ w.v.take(known, 0).transpose(0, 2, 1)
+        ds -= (seen2 * dout).sum(2, keepdims=True)
+        ds *= p
         dfar = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), WINDOW)
         ds *= np.float32(WIDTH**-0.5)
-        dq, dk = ds @ w.k[known], ds.transpose(0, 2, 1) @ w.q[asks2]
-        return Weights(_summed(asks2, dq), _summed(known, dk), _summed(known, dv), dfar, dw1, dw2).flat().astype(np.float32)
+        dq = ds @ w.k.take(known, 0)
+        np.matmul(ds.transpose(0, 2, 1), w.q.take(asks2, 0), out=dkv[..., :WIDTH])
+        both = _summed(known, dkv)
+        return Weights(_summed(asks2, dq), both[:, :WIDTH], both[:, WIDTH:], dfar, dw1, dw2).flat().astype(np.float32)
 
     def fit(self, docs: list[np.ndarray], seed: int, state: Moments | None = None) -> int:
         """Adam over the windows of docs, once, in seeded order, changing the weights; returns the number of targets.
@@ -231,10 +250,15 @@ class Model:
             part = order[i : i + BATCH]
             g = self.gradient(known[part], goal[part])
             state.steps = t = state.steps + 1
-            state.m, state.s = 0.9 * state.m + 0.1 * g, 0.99 * state.s + 0.01 * g * g
+            state.m = 0.1 * g if t == 1 else np.add(0.9 * state.m, 0.1 * g, out=state.m)
+            state.s = 0.01 * g * g if t == 1 else np.add(0.99 * state.s, 0.01 * g * g, out=state.s)
             rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * j / len(steps)) / (1 + state.chunks) ** 0.5
-            flat = flat - np.float32(rate) * (state.m / (1 - 0.9**t)) / (np.sqrt(state.s / (1 - 0.99**t)) + 1e-6)
-            self.weights = Weights.shaped(flat := np.clip(flat, -_BOUND, _BOUND))
+            step = np.sqrt(state.s * np.float32(1 / (1 - 0.99**t)))
+            step += np.float32(1e-6)
+            np.divide(state.m, step, out=step)
+            step *= np.float32(rate / (1 - 0.9**t))
+            flat = np.clip(flat - step, -_BOUND, _BOUND)
+            self.weights = Weights.shaped(flat)
         state.chunks += 1
         return int((goal >= 0).sum())
 

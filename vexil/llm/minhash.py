@@ -22,6 +22,8 @@ BANDS = 2 * PERMS // BAND_ROWS
 ROUNDS, HEADS = 3, 4
 #: Members of a bucket that are dealt together; a larger bucket has several parts, and its head goes to each.
 PART = 1024
+#: Bits that tell sets apart before their shingles are compared.
+ODD = 1024
 _CHUNK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 2**64, PERMS, dtype=np.uint64)
@@ -71,12 +73,18 @@ def _sketch(width: int):
     return run
 
 
+def odd_bits(mixed: np.ndarray) -> np.ndarray:
+    """ODD bits of a set, as numbers of 64: a bit is set if an odd number of shingles falls on it. Two sets differ in at least as many shingles as bits."""
+    return np.packbits((np.bincount((mixed % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = list(shingle_sets(pdf["text"].tolist(), width))
-            one = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "d1": one, "shingles": [s.view(np.int64) for s in sets]})
+            mixed = [mix64(s) for s in sets]
+            one = np.array([m.sum(dtype=np.uint64) for m in mixed], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "d1": one, "odd": [odd_bits(m) for m in mixed], "shingles": [s.view(np.int64) for s in sets]})
 
     return run
 
@@ -91,11 +99,20 @@ def _of(ids: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(_sized(ids), "doc_id", "left_semi")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the set of one side. A document in very many pairs has its set sent to as many parts as they are dealt in."""
+    often = stash(pairs.groupBy(side).agg(F.count("*").alias("n")).filter(F.col("n") > PART).select(side, F.ceil(F.col("n") / PART).cast("int").alias("parts")), "often")
+    hot = maybe_broadcast(often, often.count(), 32)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    own = sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}")).join(hot, side, "left")
+    return dealt.join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), [side, "salt"]).drop("salt")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) those with 100 * intersection >= percent * union of their full sets."""
     some = stash(_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), sets), "sets")
-    with_b = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = _with_sets(_with_sets(pairs, some, "b", "a"), some, "a", "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
@@ -108,16 +125,23 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of left(rep, n, comp) across components that can reach the similarity: all that do are among them.
 
     Under one order of all shingles, rarest first, two sets that are similar enough share one of their first n - ceil(percent / 100 * n) + 1. So only those are joined,
-    and documents meet at shingles that few of them have, not in their buckets.
+    and documents meet at shingles that few of them have, not in their buckets. Three exact bounds are part of that join: sizes; what can still be common from the
+    places of the shared shingle on (true of the first shared one); and the bits in which the sets differ.
     """
-    held = stash(_of(left.select(F.col("rep").alias("doc_id")), sets).select("doc_id", "d1", F.explode("shingles").alias("s")), "shingles")
+    mine = _of(left.select(F.col("rep").alias("doc_id")).distinct(), sets)
+    held = stash(mine.select("doc_id", "d1", "odd", F.explode("shingles").alias("s")), "shingles")
     often = held.groupBy("s").agg(F.count("*").alias("df"))
-    order = held.join(often, "s").groupBy(F.col("doc_id").alias("rep"), "d1").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("order"))
+    order = held.join(often, "s").groupBy(F.col("doc_id").alias("rep"), "d1", "odd").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("order"))
     n = F.size("order")
-    first = order.select("rep", F.explode(F.slice("order", F.lit(1), n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("e"))
-    first = stash(first.filter("e.df > 1").select("rep", "e.s").join(left, "rep"), "prefixes")
-    x, y = (first.select("s", *(F.col(c).alias(c + side) for c in ("rep", "n", "comp"))) for side in "xy")
-    met = x.join(y, "s").filter((F.col("repx") < F.col("repy")) & (F.col("compx") != F.col("compy")) & _fits("nx", "ny", percent))
+    head = F.slice("order", F.lit(1), n - F.floor((percent * n + 99) / 100).cast("int") + 1)
+    first = order.select("rep", "odd", n.alias("n"), F.posexplode(head).alias("at", "e")).filter("e.df > 1").select("rep", "odd", "n", "at", "e.s")
+    first = stash(first.join(left.select("rep", "comp").distinct(), "rep"), "prefixes")
+    x, y = (first.select("s", *(F.col(c).alias(c + side) for c in ("rep", "n", "at", "comp", "odd"))) for side in "xy")
+    ahead = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
+    differ = sum((F.bit_count(F.get("oddx", F.lit(i)).bitwiseXOR(F.get("oddy", F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
+    size = F.col("nx") + F.col("ny")
+    fits = _fits("nx", "ny", percent) & ((100 + percent) * ahead >= percent * size) & ((100 + percent) * differ <= (100 - percent) * size)
+    met = x.join(y, (x["s"] == y["s"]) & (F.col("repx") < F.col("repy")) & (F.col("compx") != F.col("compy")) & fits)
     return met.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
 
 
@@ -150,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     members = stash(members.select("key", "parts", "salt", "rep", "n", F.col("rep").alias("comp")), "buckets")
     # of rows that share a doc_id each is a representative of its own set; the links are the document's
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sized(members.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = stash(some.mapInPandas(_sets(width), "doc_id long, d1 long, shingles array<long>"), "sets")
+    sets = stash(some.mapInPandas(_sets(width), "doc_id long, d1 long, odd array<long>, shingles array<long>"), "sets")
 
     def still_open(held: DataFrame) -> DataFrame:
         keys = held.groupBy("key", "parts").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "parts")
@@ -183,8 +207,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: of each component the row of its least doc_id; of rows that share that doc_id too, one stays."""
-    gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    gone = stash(gone, "gone")
-    left = docs.join(maybe_broadcast(gone, gone.count(), 32), "doc_id", "left_anti")
-    return left.select(docs.columns)
+    """docs without near copies: of each component the row of its least doc_id; of rows that share that doc_id and text too, one stays.
+
+    Rows without words or without a doc_id stay. Only rows whose doc_id repeats are shuffled to find equal ones. An empty table stays empty.
+    """
+    found = stash(near_duplicates(docs, width, percent), "found")
+    gone = stash(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = docs.join(maybe_broadcast(gone, gone.count(), 32), "doc_id", "left_anti").select(docs.columns)
+    again = stash(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    side = maybe_broadcast(again, again.count(), 32)
+    once = left.join(side, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(left.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))

@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.common import small_batches
+from vexil.llm.common import lower_str, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://")
-ACCOUNT_CUES = ("iban", "ssn", "account", "acct", "passport", "tax id", "customer id", "member id")
-SECRET_CUES = ("password", "passwd", "api_key", "apikey", "token", "secret")
+#: Cues in lower case; they are found in any case.
+ACCOUNT_CUES = ("iban", "ssn", "social security", "account", "acct", "passport", "tax id", "tax_id", "customer id", "member id", "national id")
+SECRET_CUES = ("password", "passwd", "api_key", "api key", "api-key", "apikey", "access_key", "access key", "secret_key", "secret key", "private key", "token", "secret")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -31,7 +32,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+")
 _URL = re.compile(r"[^\x00-\x20\"'<>\\^`{|}]+")
-_IDENTIFIER = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#))?\s?[:=#]?\s?([A-Z]{0,3}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_IDENTIFIER = re.compile(r"(?:\s?(?:number|Number|NUMBER|no\.?|No\.?|nr\.?|Nr\.?|#))?\s?[:=#]?\s?([A-Z]{0,3}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"\s?[:=]\s?[\"']?([A-Za-z0-9+/_.-]{8,})")
 
 Span = tuple[int, int, int]
@@ -45,8 +47,7 @@ def _automaton() -> ahocorasick.Automaton:
     out.add_word("+", ("plus", 1))
     for kind, words in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                out.add_word(form, (kind, len(form)))
+            out.add_word(w, (kind, len(w)))
     out.make_automaton()
     return out
 
@@ -69,21 +70,45 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def iban(value: str) -> bool:
+    """Two letters, two check digits, 15 to 34 characters in all without blanks, and a remainder of 1 by 97."""
+    bare = value.replace(" ", "").replace("-", "")
+    if not (15 <= len(bare) <= 34 and bare.isascii() and bare[:2].isalpha() and bare[2:4].isdigit()):
+        return False
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def _account(cue: str, value: str) -> bool:
+    """Whether what stands behind a cue is well-formed: after `iban`, and for whatever looks like one, the check digits must hold; a social security number has nine digits
+    in ranges that are given out."""
+    if cue == "iban" or (len(value) >= 15 and _IBAN.fullmatch(value)):
+        return iban(value)
+    if cue in ("ssn", "social security"):
+        digits = value.replace(" ", "").replace("-", "")
+        return len(digits) == 9 and digits.isdigit() and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+    return True
+
+
 def scan(text: str) -> list[Span]:
     """Spans (start, kind's place in KINDS, end) in code points, in that order.
 
     The four base kinds are exactly the leftmost non-overlapping matches of their patterns that pass validation; a match that fails is dropped, and what it
-    covers isn't tried again. Added kinds: urls after a scheme, identifiers with a digit after an account cue, values after a secret's cue and = or :.
+    covers isn't tried again. Added kinds: urls after a scheme; account numbers, which are IBANs whose check digits hold, with or without a cue, and other identifiers
+    with a digit after a cue; values after a secret's cue and = or :. Cues count in any case.
     """
     found: list[Span] = []
     ends = dict.fromkeys(KINDS, 0)
     run_end = 0
-    for last, (anchor, size) in _ANCHORS.iter(text):
+    lower = lower_str(text)
+    for last, (anchor, size) in _ANCHORS.iter(lower):
         at = last - size + 1
         if anchor == "digit":
             if at < run_end:
                 continue
             run_end = _RUN.match(text, at).end()
+            if at - 2 >= ends["account"] and "A" <= text[at - 1] <= "Z" and (at == 2 or not text[at - 3].isalnum()) and (m := _IBAN.match(text, at - 2)) and iban(m[0]):
+                ends["account"] = m.end()
+                found.append((at - 2, 5, m.end()))
             if at >= ends["ip"] and (m := _IP.match(text, at)):
                 ends["ip"] = m.end()
                 if all(map(_small, m[0].split("."))):
@@ -112,7 +137,8 @@ def scan(text: str) -> list[Span]:
                 ends["url"] = end
                 found.append((at, 4, end))
         elif at >= ends[anchor] and (at == 0 or not text[at - 1].isalnum()):
-            if m := (_IDENTIFIER if anchor == "account" else _SECRET).match(text, last + 1):
+            m = (_IDENTIFIER if anchor == "account" else _SECRET).match(text, last + 1)
+            if m and (anchor == "secret" or (m.start(1) >= ends["account"] and _account(lower[at : last + 1], m[1]))):
                 ends[anchor] = m.end(1)
                 found.append((m.start(1), KINDS.index(anchor), m.end(1)))
     found.sort()
