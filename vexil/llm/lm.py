@@ -26,7 +26,7 @@ START, PAD = SLOTS, SLOTS + 1
 WIDTH, STRIDE, CONTEXT = 16, 32, 16
 WINDOW = STRIDE + CONTEXT
 #: Every training document is in one of the rounds.
-ROUNDS, RATE, BATCH = 2, 0.04, 48
+ROUNDS, RATE, BATCH = 2, 0.04, 96
 SMOOTH = 20.0
 #: Words above this share of all training words are sent to the tasks (a million at most, by arithmetic); rarer ones are joined.
 FREQUENT = 1e-6
@@ -192,8 +192,9 @@ class Model:
         """Of the mean negative log probability, flat."""
         w = self.weights
         asks2, p, total, seen2 = self.attend(known)
-        p *= (known != PAD)[:, None, :]
-        p /= total
+        # padding stands at the beginning of a document only: what comes behind its end no position sees
+        led = np.flatnonzero(known[:, 0] == PAD)
+        p[led] *= (known[led] != PAD)[:, None, :]
         real = np.flatnonzero(goal.ravel() >= 0)
         asks, seen, y = asks2.ravel().take(real), seen2.reshape(-1, WIDTH).take(real, 0), goal.ravel().take(real)
         n = np.float32(1 / max(1, len(real)))
@@ -222,7 +223,8 @@ class Model:
                 dseen[some] += d2 @ w.w2[g].T
         dout = np.zeros((goal.size, WIDTH), np.float32)
         dout[real] = dseen
-        dout = dout.reshape(*goal.shape, WIDTH)
+        # weights are left undivided: their sum divides what comes from above instead
+        dout = dout.reshape(*goal.shape, WIDTH) / total
         dkv = np.empty((*known.shape, 2 * WIDTH), np.float32)
         np.matmul(p.transpose(0, 2, 1), dout, out=dkv[..., WIDTH:])
         # the softmax's own term is the product of what came out with its gradient
@@ -230,9 +232,8 @@ class Model:
         ds -= (seen2 * dout).sum(2, keepdims=True)
         ds *= p
         dfar = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), WINDOW)
-        ds *= np.float32(WIDTH**-0.5)
-        dq = ds @ w.k.take(known, 0)
-        np.matmul(ds.transpose(0, 2, 1), w.q.take(asks2, 0), out=dkv[..., :WIDTH])
+        dq = ds @ (w.k * np.float32(WIDTH**-0.5)).take(known, 0)
+        np.matmul(ds.transpose(0, 2, 1), (w.q * np.float32(WIDTH**-0.5)).take(asks2, 0), out=dkv[..., :WIDTH])
         both = _summed(known, dkv)
         return Weights(_summed(asks2, dq), both[:, :WIDTH], both[:, WIDTH:], dfar, dw1, dw2).flat().astype(np.float32)
 
