@@ -41,8 +41,13 @@ def test_scorers(spark):
         E.math_score(lit("none"), lit("3")).alias("m3"),
         E.choice_score(lit("B, surely"), lit("B")).alias("c1"),
         E.choice_score(lit("the answer is C"), lit("C")).alias("c2"),
+        E.choice_score(lit("answer: none. D"), lit("D")).alias("c5"),
+        E.choice_score(lit("answer:"), lit("D")).alias("c6"),
+        E.choice_score(lit("so\tAB it is"), lit("AB")).alias("c7"),
+        E.kv_score(lit("a\tv1"), lit("v1")).alias("kv2"),
         E.without_thought(lit("<think>a</think> b</think>  c")).alias("t"),
     )
+    assert (got["c5"], got["c6"], got["c7"], got["kv2"]) == (0, 0, 1, 1)
     assert got["n"] == "cat sat on apple" and got["f"] == pytest.approx(0.5) and got["f0"] == 0 and got["c"] == 0.5 and got["k"] == pytest.approx(2 / 3) and got["r"] == 1
     assert (got["m"], got["p"], got["i"], got["kv"], got["m1"], got["m2"], got["m3"], got["c1"], got["c2"], got["t"]) == (0.5, 1, 1, 1, 1, 0, 0, 1, 1, "c")
 
@@ -71,7 +76,7 @@ def test_array_helpers(spark):
 def test_budget_and_quantizer():
     assert B.budget(131072, 0.01, 4, 128) == 1456 and B.budget(131072, 0.005, 4, 128) == 800
     level, edge = B.lloyd_max(16)
-    assert len(level) == 8 and len(edge) == 7 and (np.diff(level) > 0).all() and np.allclose(level, -level[::-1], atol=0.02)
+    assert len(level) == 8 and len(edge) == 7 and (np.diff(level) > 0).all() and level[0] > 0 and np.allclose(edge, (level[1:] + level[:-1]) / 2)
 
 
 def test_collisions_find_near_keys(spark):
@@ -79,9 +84,13 @@ def test_collisions_find_near_keys(spark):
     x = rng.standard_normal((300, 32))
     kv = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "stream_id long, pos long, key array<double>")
     qs = spark.createDataFrame([(i, 0, (x[i] + 0.2 * rng.standard_normal(32)).tolist()) for i in range(8)], "query_id long, stream_id long, q array<double>")
-    level, edge = B.lloyd_max(32)
-    got = B.reranked(qs, kv, B.collisions(qs, kv, 32, 8), 60, 5, 32, level, edge)
-    assert {(r["query_id"], r["pos"]) for r in got.filter("rank = 1").collect()} == {(i, i) for i in range(8)}
+    regions = kv.withColumn("region", F.lit("retrieval"))
+    got = B.collided(qs, regions, 5, 32, 8).collect()
+    assert {(r["query_id"], r["pos"]) for r in got if r["rank"] == 1} == {(i, i) for i in range(8)}
+    few = B.collided(qs, regions.filter("pos < 4"), 5, 32, 8)
+    assert few.count() == 8 * 4
+    own = B.selector_stats(qs, regions, B.collided(qs, regions, 5, 32, 8), 8, 5).first()
+    assert own["n_records"] == 8 and own["mean_budget"] == 5 and 0.5 < own["mean_collision_share"] <= 1
 
 
 def test_page_background_modes_close_the_gap(spark):

@@ -47,12 +47,16 @@ def f1(prediction: Column, truth: Column) -> Column:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table is one number, a bit a word of a, so a step is a few operations on whole rows."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        met = row & at.get(y, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -67,24 +71,59 @@ def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(out)
 
 
+def _longest(x: str, y: str) -> tuple[int, int, int]:
+    """(length, place in x, place in y) of the longest common substring, the first in x and then in y, by a suffix automaton of y: time follows the lengths' sum."""
+    step: list[dict[str, int]] = [{}]
+    link, size, first = [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(y):
+        now = len(size)
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        first.append(i)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[q] == size[p] + 1:
+                link[now] = q
+            else:
+                twin = len(size)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                first.append(first[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = twin
+                    p = link[p]
+                link[q] = link[now] = twin
+        last = now
+    best, i0, j0, at, n = 0, 0, 0, 0, 0
+    for i, c in enumerate(x):
+        while at and c not in step[at]:
+            at = link[at]
+            n = size[at]
+        if c in step[at]:
+            at, n = step[at][c], n + 1
+        else:
+            n = 0
+        if n > best:
+            best, i0, j0 = n, i - n + 1, first[at] - n + 1
+    return best, i0, j0
+
+
 def _blocks(a: str, b: str) -> int:
     """Characters in matching blocks: the longest common substring, then the same to its left and right."""
     total, todo = 0, [(a, b)]
     while todo:
         x, y = todo.pop()
-        best, i0, j0, row = 0, 0, 0, {}
-        for i, c in enumerate(x):
-            now = {}
-            j = y.find(c)
-            while j >= 0:
-                now[j] = n = row.get(j - 1, 0) + 1
-                if n > best:
-                    best, i0, j0 = n, i - n + 1, j - n + 1
-                j = y.find(c, j + 1)
-            row = now
+        best, i, j = _longest(x, y) if x and y else (0, 0, 0)
         if best:
             total += best
-            todo += [(x[:i0], y[:j0]), (x[i0 + best :], y[j0 + best :])]
+            todo += [(x[:i], y[:j]), (x[i + best :], y[j + best :])]
     return total
 
 
@@ -145,9 +184,17 @@ def first_int(prediction: Column, label: Column) -> Column:
     return F.when(F.regexp_extract(prediction, r"(\d+)", 1) == label, 1.0).otherwise(0.0)
 
 
+#: What str.split() takes for white space (fixed values).
+WHITE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: Characters that count as blanks for keys and for choices (fixed values).
+KEY_MARKS, CHOICE_MARKS = "\n:\"'.,?!{}", "\n\"'.,?!{}"
+#: Phrases that a choice stands behind, in the order in which they are looked for (fixed values).
+PHRASES = ("answer is:", "answer:", "answer is", "option is")
+
+
 def kv_score(prediction: Column, label: Column) -> Column:
     """1 if the label is a token, ten punctuation characters counting as blanks."""
-    return F.when(F.array_contains(F.split(F.translate(prediction, "\n:\"'.,?!{}", " " * 10), " +"), label), 1.0).otherwise(0.0)
+    return F.when(F.array_contains(F.split(F.translate(prediction, KEY_MARKS, " " * len(KEY_MARKS)), WHITE), label), 1.0).otherwise(0.0)
 
 
 def math_score(prediction: Column, label: Column) -> Column:
@@ -159,14 +206,21 @@ def math_score(prediction: Column, label: Column) -> Column:
 
 
 def choice_score(prediction: Column, label: Column) -> Column:
-    """label: one string or the letter's options joined. The first character decides if it is from A to D; else the first `answer is`-like phrase; else the first token
-    that lies within ABCD."""
-    text = F.trim(prediction)
-    head = F.substring(text, 1, 1)
-    phrase = F.regexp_extract(text, r"(?i)(?:answer is:?|answer:|choice is:?|option) ?\(?([A-D])\b", 1)
-    token = F.coalesce(F.get(F.filter(F.split(F.regexp_replace(text, r"[\"'.,?!{}:\n]", " "), " +"), lambda w: (w != "") & F.lit(LETTERS).contains(w)), F.lit(0)), F.lit(""))
-    said = F.when((head != "") & F.lit(LETTERS).contains(head), head).when(phrase != "", phrase).otherwise(token)
-    return F.when((said != "") & label.contains(said), 1.0).otherwise(0.0)
+    """A first character from A to D decides. Else, in the text with nine punctuation characters as blanks, the first of the phrases that is there decides: one more
+    character is passed over, and one of the label's must follow. Else the first token that lies within ABCD."""
+
+    def score(text: Column) -> Column:
+        head = F.substring(text, 1, 1)
+        plain = F.regexp_replace(F.translate(text, CHOICE_MARKS, " " * len(CHOICE_MARKS)), " {2,}", " ")
+        word = F.get(F.filter(F.split(plain, WHITE), lambda w: (w != "") & F.lit(LETTERS).contains(w)), F.lit(0))
+        out = F.coalesce(word == label, F.lit(False))
+        for phrase in reversed(PHRASES):
+            at = F.locate(phrase, plain)
+            then = F.substring(plain, at + len(phrase) + 1, F.lit(1))
+            out = F.when(at > 0, (then != "") & label.contains(then)).otherwise(out)
+        return F.when((head != "") & F.lit(LETTERS).contains(head), head == label).otherwise(out)
+
+    return F.when(score(prediction), 1.0).otherwise(0.0)
 
 
 def without_thought(text: Column) -> Column:

@@ -5,6 +5,7 @@ With a known dimension, products are written out term by term: the sum stays in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -31,9 +32,14 @@ def norm(v: Column, dim: int | None = None, eps: float = EPS) -> Column:
     return F.greatest(F.sqrt(dot(v, v, dim)), F.lit(eps))
 
 
+def bound(of: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: in a lambda it is a variable, not an expression that is computed again at each place."""
+    return F.get(F.transform(F.array(of), use), F.lit(0))
+
+
 def direction(v: Column, dim: int | None = None, eps: float = EPS) -> Column:
-    n = norm(v, dim, eps)
-    return F.transform(v, lambda x: x / n)
+    """v at unit length; vectors shorter than eps are divided by eps."""
+    return bound(norm(v, dim, eps), lambda n: F.transform(v, lambda x: x / n))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -66,12 +72,12 @@ def rotation(dim: int, seed: int = 0) -> np.ndarray:
 
 def rotate(v: Column, by: np.ndarray) -> Column:
     """v times the matrix; its inverse is rotate(., by.T)."""
-    return F.transform(matrix(by.T), lambda col: dot(v, col, by.shape[0]))
+    return bound(v, lambda u: F.transform(matrix(by.T), lambda col: dot(u, col, by.shape[0])))
 
 
 def linear(v: Column, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
     """weights @ v + bias, for projections [out, in]."""
-    out = F.transform(matrix(weights), lambda row: dot(v, row, weights.shape[1]))
+    out = bound(v, lambda u: F.transform(matrix(weights), lambda row: dot(u, row, weights.shape[1])))
     return out if bias is None else plus(out, F.array(*(F.lit(float(x)) for x in bias)))
 
 

@@ -5,6 +5,9 @@ Tables in long form: logits(query_id, pos, region, list_id, logit, chosen); weig
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +15,7 @@ from vexil.functions import vectors as V
 from vexil.operators import search as S
 from vexil.operators.config import AttentionConfig
 from vexil.operators.ivf import Index
-from vexil.sources.shared import small
-
-
-def each() -> Window:
-    """The rows of one query."""
-    return Window.partitionBy("query_id")
+from vexil.sources.shared import meet, small, stash
 
 
 def regions(kv: DataFrame, sink: int, local: int) -> DataFrame:
@@ -30,16 +28,32 @@ def regions(kv: DataFrame, sink: int, local: int) -> DataFrame:
 
 def exact(queries: DataFrame, kv: DataFrame, scale: float, dim: int, keep: list[str] | None = None) -> DataFrame:
     """(query_id, pos, ..., logit): scaled products of each query with all keys of its stream; the queries go to the keys."""
-    held = small(queries.select("query_id", "stream_id", V.doubles(F.col("q")).alias("_q")), 8 * dim + 32)
+    held = queries.select("query_id", "stream_id", V.doubles(F.col("q")).alias("_q"))
     cols = [c for c in (keep if keep is not None else kv.columns) if c not in ("key", "stream_id")]
-    return kv.join(held, "stream_id").select("query_id", "stream_id", *cols, (V.dot(F.col("_q"), V.doubles(F.col("key")), dim) * F.lit(scale)).alias("logit"))
+    met = meet(kv, held, 8 * dim + 32, "pos" if "pos" in kv.columns else "key")
+    return met.select("query_id", "stream_id", *cols, (V.dot(F.col("_q"), V.doubles(F.col("key")), dim) * F.lit(scale)).alias("logit"))
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: list[str], row_bytes: int = 64) -> DataFrame:
+    """rows with the columns of a table of a row a group; null groups meet too."""
+    named = small(table, row_bytes).withColumnsRenamed({b: f"_by_{b}" for b in by})
+    same = reduce(and_, (F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by))
+    return rows.join(named, same).drop(*(f"_by_{b}" for b in by))
+
+
+def totals(logits: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., _m, _s): the largest logit of each group and the sum of exp(logit - _m), as a written table of a row a group.
+
+    Two aggregates, each partial in every task: no group's rows are gathered or sorted.
+    """
+    largest = stash(logits.groupBy(*by).agg(F.max("logit").alias("_m")), "largest")
+    shifted = _beside(logits.select(*by, "logit"), largest, by)
+    return stash(shifted.groupBy(*by).agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col("logit") - F.col("_m"))).alias("_s")), "totals")
 
 
 def softmax(logits: DataFrame) -> DataFrame:
     """logits with w, their share in the softmax of their query."""
-    by = each()
-    e = F.exp(F.col("logit") - F.max("logit").over(by))
-    return logits.withColumn("w", e / F.sum(e).over(by))
+    return _beside(logits, totals(logits, ["query_id"]), ["query_id"]).withColumn("w", F.exp(F.col("logit") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
 def combine(weights: DataFrame, dim: int, value: str = "value") -> DataFrame:
@@ -54,35 +68,35 @@ def dense(queries: DataFrame, kv: DataFrame, scale: float, dim: int, dim_value:
 
 def segment_sums(logits: DataFrame) -> DataFrame:
     """(query_id, list_id, s): sums of exp(logit - the query's largest logit)."""
-    shifted = logits.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(each())))
-    return shifted.groupBy("query_id", "list_id").agg(F.sum("_e").alias("s"))
+    largest = stash(logits.groupBy("query_id").agg(F.max("logit").alias("_m")), "largest")
+    return _beside(logits, largest, ["query_id"]).groupBy("query_id", "list_id").agg(F.sum(F.exp(F.col("logit") - F.col("_m"))).alias("s"))
 
 
 def segment_stats(logits: DataFrame, by: list[str]) -> DataFrame:
     """(by..., m, s): the largest logit of a segment and the sum of exp(logit - m); such rows of parts merge by merge_stats()."""
-    w = Window.partitionBy(*by)
-    shifted = logits.withColumn("_m", F.max("logit").over(w))
-    return shifted.groupBy(*by).agg(F.max("logit").alias("m"), F.sum(F.exp(F.col("logit") - F.col("_m"))).alias("s"))
+    return totals(logits, by).withColumnsRenamed({"_m": "m", "_s": "s"})
 
 
 def merge_stats(parts: DataFrame, by: list[str]) -> DataFrame:
     """Parts (by..., m, s) folded to one row a group, rescaled to the common largest logit; an empty part is (-inf, 0)."""
-    w = Window.partitionBy(*by)
-    shifted = parts.withColumn("_M", F.max("m").over(w)).withColumn("_s", F.when(F.col("s") == 0, 0.0).otherwise(F.col("s") * F.exp(F.col("m") - F.col("_M"))))
-    return shifted.groupBy(*by).agg(F.max("m").alias("m"), F.sum("_s").alias("s"))
+    largest = stash(parts.groupBy(*by).agg(F.max("m").alias("_m")), "largest")
+    scaled = F.when(F.col("s") == 0, 0.0).otherwise(F.col("s") * F.exp(F.col("m") - F.col("_m")))
+    return _beside(parts, largest, by).groupBy(*by).agg(F.max("_m").alias("m"), F.sum(scaled).alias("s"))
 
 
 def partial(logits: DataFrame, part: str, dim: int) -> DataFrame:
     """(query_id, part, m, s, o): attention over a part of the rows: its largest logit, its sum, and its weighted values, not yet divided."""
-    w = Window.partitionBy("query_id", part)
-    shifted = logits.withColumn("_m", F.max("logit").over(w)).withColumn("_e", F.exp(F.col("logit") - F.col("_m")))
+    by = ["query_id", part]
+    largest = stash(logits.groupBy(*by).agg(F.max("logit").alias("_m")), "largest")
+    shifted = _beside(logits, largest, by).withColumn("_e", F.exp(F.col("logit") - F.col("_m")))
     sums = F.array(*(F.sum(F.col("_e") * F.get("value", F.lit(i))) for i in range(dim)))
-    return shifted.groupBy("query_id", F.col(part).alias("part")).agg(F.max("logit").alias("m"), F.sum("_e").alias("s"), sums.alias("o"))
+    return shifted.groupBy("query_id", F.col(part).alias("part")).agg(F.max("_m").alias("m"), F.sum("_e").alias("s"), sums.alias("o"))
 
 
 def merge_partial(parts: DataFrame, dim: int) -> DataFrame:
-    """(query_id, d, value) of parts, by their logarithms of sums."""
-    shifted = parts.withColumn("_f", F.exp(F.col("m") - F.max("m").over(each())))
+    """(query_id, d, value) of parts, by their logarithms of sums; parts are a few rows a query, written first."""
+    parts = stash(parts, "parts")
+    shifted = _beside(parts, parts.groupBy("query_id").agg(F.max("m").alias("_m")), ["query_id"]).withColumn("_f", F.exp(F.col("m") - F.col("_m")))
     total = F.sum(F.col("s") * F.col("_f"))
     out = F.array(*((F.sum(F.get("o", F.lit(i)) * F.col("_f")) / total) for i in range(dim)))
     return shifted.groupBy("query_id").agg(out.alias("_o")).select("query_id", F.posexplode("_o").alias("d", "value")).select("query_id", F.col("d").cast("long").alias("d"), "value")
@@ -98,8 +112,8 @@ def chosen_counts(scaled: DataFrame, lengths: DataFrame, cfg: AttentionConfig, p
         if cfg.top_p_scope == "retrieval":
             return S.nucleus(logits, cfg.top_p)
         both = softmax(logits.withColumn("_pre", F.lit(False)).unionByName(prefix.select("query_id", "pos", "logit").withColumn("_pre", F.lit(True))))
-        both = both.withColumn("_ahead", F.sum(F.when(F.col("_pre"), F.col("w")).otherwise(0.0)).over(each())).withColumn("mass", F.col("w"))
-        return S.nucleus(both.filter("not _pre"), cfg.top_p, F.col("_ahead"))
+        ahead = stash(both.groupBy("query_id").agg(F.sum(F.when(F.col("_pre"), F.col("w")).otherwise(0.0)).alias("_ahead")), "ahead")
+        return S.nucleus(_beside(both.filter("not _pre"), ahead, ["query_id"]).withColumn("mass", F.col("w")), cfg.top_p, F.col("_ahead"))
     k = S.fraction_k(F.col("n"), cfg.top_fraction) if cfg.top_fraction is not None else F.least(F.col("n"), F.lit(cfg.retrieval_topk))
     return lengths.select("query_id", k.alias("k"))
 
@@ -109,6 +123,9 @@ def hybrid_logits(queries: DataFrame, kv: DataFrame, index: Index, cfg: Attentio
 
     Sink and local rows and the chosen retrieval rows have exact logits; other retrieval rows have their approximate score times the scale. Which and how many
     are chosen follows approximate scores alone. kv has regions; a query of a stream without retrieval rows keeps its sink and local rows.
+
+    Keys are multiplied for sink, local and chosen rows only. The others carry no value (null), unless the configuration sums all values, and aren't joined with
+    anything but a row a query: the last chosen one's place tells which rows come after it.
     """
     scale = cfg.scaled(dim)
     probed = None
@@ -123,17 +140,31 @@ def hybrid_logits(queries: DataFrame, kv: DataFrame, index: Index, cfg: Attentio
         pool = scaled.join(probed.select("query_id", "pos"), ["query_id", "pos"], "left_semi")
         if cfg.candidate_budget is not None:
             pool = S.top(pool, cfg.candidate_budget).drop("rank")
-    logits = exact(queries, kv, scale, dim)
-    always = logits.filter("region <> 'retrieval'")
+    always = exact(queries, kv.filter("region <> 'retrieval'"), scale, dim)
     lengths = queries.select("query_id", "stream_id").join(index.codes.groupBy("stream_id").agg(F.count("*").alias("n")), "stream_id")
-    k = chosen_counts(scaled, lengths, cfg, always)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    best = pool.withColumn("_r", F.row_number().over(order)).join(small(k, 32), "query_id").filter(F.col("_r") <= F.col("k")).select("query_id", "pos", F.lit(True).alias("_hit"))
-    rest = logits.filter("region = 'retrieval'").join(scaled.select("query_id", "pos", "list_id", "score"), ["query_id", "pos"]).join(best, ["query_id", "pos"], "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    logit = F.when(hit & F.lit(cfg.exact_rerank), F.col("logit")).otherwise(F.col("score"))
-    rest = rest.select("query_id", "stream_id", "pos", "region", "list_id", logit.alias("logit"), hit.alias("chosen"), "value")
-    return always.select("query_id", "stream_id", "pos", "region", F.lit(None).cast("int").alias("list_id"), "logit", F.lit(True).alias("chosen"), "value").unionByName(rest)
+    k = stash(chosen_counts(scaled, lengths, cfg, always), "counts")
+    most = k.agg(F.max("k")).first()[0] or 0
+    best = _beside(S.top(pool, most), k, ["query_id"]).filter(F.col("rank") <= F.col("k")).select("query_id", "stream_id", "pos", "list_id", "score")
+    best = stash(best, "chosen")
+    place = F.struct("score", -F.col("pos"))
+    if pool is scaled:
+        last = best.groupBy("query_id").agg(F.min(place).alias("_last"))
+        rest = scaled.join(small(last, 32), "query_id", "left").filter(F.col("_last").isNull() | (place < F.col("_last")))
+    else:
+        rest = scaled.join(best.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+    asked = small(queries.select("query_id", V.doubles(F.col("q")).alias("_q")), 8 * dim + 32)
+    rows = kv.select("stream_id", "pos", "key", "value")
+    chosen = rows.join(small(best, 48), ["stream_id", "pos"])
+    logit = V.dot(F.col("_q"), V.doubles(F.col("key")), dim) * F.lit(scale) if cfg.exact_rerank else F.col("score")
+    chosen = chosen.join(asked, "query_id").withColumn("logit", logit).withColumn("chosen", F.lit(True))
+    rest = rest.withColumn("logit", F.col("score")).withColumn("chosen", F.lit(False))
+    if cfg.mode == "hybrid" and cfg.value_mode == "full":
+        rest = rest.join(rows.select("stream_id", "pos", "value"), ["stream_id", "pos"])
+    else:
+        rest = rest.withColumn("value", F.lit(None).cast(kv.schema["value"].dataType))
+    cols = ["query_id", "stream_id", "pos", "region", "list_id", "logit", "chosen", "value"]
+    found = chosen.select(*(c for c in cols if c != "region")).unionByName(rest.select(*(c for c in cols if c != "region"))).withColumn("region", F.lit("retrieval"))
+    return always.withColumn("list_id", F.lit(None).cast("int")).withColumn("chosen", F.lit(True)).select(cols).unionByName(found.select(cols))
 
 
 def attend(logits: DataFrame, cfg: AttentionConfig, dim_value: int, means: DataFrame | None = None, mean: str = "v_mean") -> DataFrame:

@@ -124,14 +124,21 @@ def reconstruct(index: Index, codes: DataFrame | None = None) -> DataFrame:
     return out.select("stream_id", "pos", (V.rotate(v, index.rotation.T) if index.rotation is not None else v).alias("key"))
 
 
-def footprint(index: Index, dim_value: int, bytes_a_number: int = 2) -> DataFrame:
-    """(stream_id, rows, code_bytes, list_bytes, norm_bytes, codebook_bytes, total_bytes, key_compression_ratio); a ratio of 1 when nothing is indexed."""
-    cfg = index.config
-    width = -(-cfg.num_subspaces // 2) if cfg.packed else cfg.num_subspaces
+def packed(index: Index) -> DataFrame:
+    """(stream_id, pos, list_id, packed, key_norm), written: two 4-bit codes a number, as search.packed_scan() reads them."""
+    if not index.config.packed:
+        raise ValueError("codes are packed only if configured, with 4 bits")
+    return stash(index.codes.select("stream_id", "pos", "list_id", V.pack4(F.col("codes"), index.config.num_subspaces).alias("packed"), "key_norm"), "packed")
+
+
+def footprint(index: Index, codes: DataFrame | None = None, bytes_a_number: int = 2) -> DataFrame:
+    """(stream_id, rows, code_bytes, list_bytes, norm_bytes, codebook_bytes, total_bytes, key_compression_ratio) of a stored table of codes, index.codes or that of packed():
+    a byte an entry of its codes. A ratio of 1 when nothing is indexed."""
+    cfg, codes = index.config, index.codes if codes is None else codes
+    entries = F.size("packed" if "packed" in codes.columns else "codes")
     list_width = 2 if cfg.num_lists <= 1 << 16 else 4
     fixed = bytes_a_number * (cfg.num_lists * index.dim + cfg.num_subspaces * cfg.words * index.sub)
-    n = index.codes.groupBy("stream_id").agg(F.count("*").alias("rows"))
-    out = n.withColumn("code_bytes", F.col("rows") * width).withColumn("list_bytes", F.col("rows") * list_width)
+    out = codes.groupBy("stream_id").agg(F.count("*").alias("rows"), F.sum(entries).cast("long").alias("code_bytes")).withColumn("list_bytes", F.col("rows") * list_width)
     out = out.withColumn("norm_bytes", F.col("rows") * (bytes_a_number if cfg.direction_normalize else 0)).withColumn("codebook_bytes", F.lit(fixed).cast("long"))
     total = F.col("code_bytes") + F.col("list_bytes") + F.col("norm_bytes") + F.col("codebook_bytes")
     ratio = F.when(F.col("rows") > 0, F.col("rows") * index.dim * bytes_a_number / total).otherwise(1.0)
@@ -154,7 +161,8 @@ def blended(old: DataFrame, assigned: DataFrame, keys: list[str], dim: int, rate
     return old.join(mean, [*keys, "list_id"], "left").select(*keys, "list_id", F.coalesce(moved, "centroid").alias("centroid"))
 
 
-def _moved(index: Index, batch: DataFrame, rate: float | None) -> Index:
+def moved(index: Index, batch: DataFrame, rate: float | None = None) -> Index:
+    """Centroids and words moved towards the batch; codes stay."""
     cfg, dim = index.config, index.dim
     rate = cfg.online_codebook_lr if rate is None else rate
     if not 0 < rate <= 1:
@@ -168,13 +176,13 @@ def _moved(index: Index, batch: DataFrame, rate: float | None) -> Index:
 
 def online_refresh(index: Index, rows: DataFrame, batch: DataFrame, rate: float | None = None) -> Index:
     """Centroids and words moved towards the batch, then all rows coded anew (reencode = all)."""
-    out = _moved(index, batch, rate)
+    out = moved(index, batch, rate)
     return replace(out, codes=stash(coded(rows, out.coarse, out.codebook, out.config, out.dim, out.rotation), "codes"))
 
 
 def delta_flush(index: Index, batch: DataFrame, rate: float | None = None) -> Index:
     """Centroids and words moved towards the batch, and only the batch coded under them; older codes stay as they are (reencode = delta)."""
-    out = _moved(index, batch, rate)
+    out = moved(index, batch, rate)
     return replace(out, codes=index.codes.unionByName(coded(batch, out.coarse, out.codebook, out.config, out.dim, out.rotation)))
 
 

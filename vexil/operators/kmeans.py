@@ -28,7 +28,8 @@ def assign(points: DataFrame, centroids: DataFrame, keys: list[str], dim: int, n
     """
     packed = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("list_id", F.col("centroid").alias("c"), dot(F.col("centroid"), F.col("centroid"), dim).alias("cc")))).alias("_cs"))
     near = F.array_min(F.transform("_cs", lambda c: F.struct((c["cc"] - 2 * dot(F.col("v"), c["c"], dim)).alias("d"), c["list_id"].alias("l"))))
-    return points.join(small(packed, 16 * dim * 512), keys).withColumn(name, near["l"]).drop("_cs")
+    lists = centroids.agg(F.max("list_id")).first()[0] or 0
+    return points.join(small(packed, (16 * dim + 32) * (lists + 1)), keys).withColumn(name, near["l"]).drop("_cs")
 
 
 def update(assigned: DataFrame, centroids: DataFrame, keys: list[str], dim: int) -> DataFrame:
@@ -91,6 +92,14 @@ def inverted(assigned: DataFrame, lists: int) -> DataFrame:
     return out.withColumn("members", F.coalesce("members", F.array().cast("array<bigint>")))
 
 
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Inverted lists of rows that were there and of rows added, as one such table: only lists are joined and sorted, no assignment is read again."""
+    both = old.select("stream_id", "list_id", "n", "members").unionByName(new.select("stream_id", "list_id", "n", "members"))
+    lists = both.groupBy("stream_id", "list_id").agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("members"))).alias("members"))
+    w = Window.partitionBy("stream_id").orderBy("list_id").rowsBetween(Window.unboundedPreceding, -1)
+    return lists.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
 def health(assigned: DataFrame, lists: int) -> DataFrame:
     """(stream_id, lists, empty, largest, rows)."""
     sizes = list_sizes(assigned, lists)

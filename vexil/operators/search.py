@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vexil.functions import vectors as V
 from vexil.operators.ivf import Index
-from vexil.sources.shared import small
+from vexil.sources.shared import meet, small, stash
 
 
 def top(scores: DataFrame, k: int | Column, score: str = "score", by: str = "query_id") -> DataFrame:
@@ -43,10 +43,11 @@ def bias(queries: DataFrame, index: Index) -> DataFrame:
 
 
 def tables(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, stream_id, q_norm, lut, biases): what a row needs to be scored, as two flat arrays; a row a query."""
+    """(query_id, stream_id, q_norm, lut, biases): what a row needs to be scored, as two flat arrays; a row a query, written once, so that whatever
+    scores again looks up the same numbers."""
     lut = lookup(queries, index).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "code", "x"))), lambda e: e["x"]).alias("lut"))
     biases = bias(queries, index).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("list_id", "bias"))), lambda e: e["bias"]).alias("biases"))
-    return turned(queries, index).select("query_id", "stream_id", "q_norm").join(lut, "query_id").join(biases, "query_id")
+    return stash(turned(queries, index).select("query_id", "stream_id", "q_norm").join(lut, "query_id").join(biases, "query_id"), "tables")
 
 
 def _score(index: Index) -> Column:
@@ -60,8 +61,66 @@ def _score(index: Index) -> Column:
 def approximate(queries: DataFrame, index: Index, codes: DataFrame | None = None) -> DataFrame:
     """(query_id, stream_id, pos, list_id, score) of every coded row of a query's stream. The queries' tables go to the codes; codes aren't shuffled while they are small."""
     width = 8 * (index.config.num_subspaces * index.config.words + index.config.num_lists)
-    held = small(tables(queries, index), width)
-    return (index.codes if codes is None else codes).join(held, "stream_id").select("query_id", "stream_id", "pos", "list_id", _score(index).alias("score"))
+    met = meet(index.codes if codes is None else codes, tables(queries, index), width)
+    return met.select("query_id", "stream_id", "pos", "list_id", _score(index).alias("score"))
+
+
+def packed_score(config_words: int, pieces: int, pairs: bool = False) -> Column:
+    """The sum of a query's looked-up terms for a row's `packed` codes, two a byte; with pairs, one look-up a byte in the tables that pair_tables() makes."""
+    byte = lambda i: F.get("packed", F.lit(i)).cast("int")
+    if pairs:
+        return reduce(add, (F.get("pair_lut", F.lit(256 * i) + byte(i)) for i in range(-(-pieces // 2))))
+    low = lambda m: byte(m // 2).bitwiseAND(F.lit(15)) if m % 2 == 0 else F.shiftright(byte(m // 2), 4)
+    return reduce(add, (F.get("lut", F.lit(m * config_words) + low(m)) for m in range(pieces)))
+
+
+def pair_tables(asked: DataFrame, pieces: int) -> DataFrame:
+    """tables() with pair_lut: for each byte of packed codes the 256 sums of its two terms; a last odd piece stands alone."""
+    term = lambda m, code: F.get("lut", F.lit(16 * m) + code) if m < pieces else F.lit(0.0)
+    every = F.sequence(F.lit(0), F.lit(255))
+    one = lambda i: F.transform(every, lambda b: term(2 * i, b.bitwiseAND(F.lit(15))) + term(2 * i + 1, F.shiftright(b, 4)))
+    return asked.withColumn("pair_lut", F.concat(*(one(i) for i in range(-(-pieces // 2)))))
+
+
+def packed_scan(queries: DataFrame, index: Index, packed: DataFrame, pairs: bool = False) -> DataFrame:
+    """(query_id, stream_id, pos, list_id, score) from stored packed(stream_id, pos, list_id, packed, key_norm): nothing is unpacked into an array. 4-bit codes only."""
+    if index.config.num_bits != 4:
+        raise ValueError("packed codes have 4 bits")
+    pieces = index.config.num_subspaces
+    asked = tables(queries, index)
+    asked = pair_tables(asked, pieces) if pairs else asked
+    met = meet(packed, asked, 8 * (256 * pieces + index.config.num_lists))
+    score = packed_score(index.config.words, pieces, pairs)
+    score = score + F.get("biases", F.col("list_id")) if index.config.residual else score
+    score = score * F.col("q_norm") * F.col("key_norm") if index.config.direction_normalize else score
+    return met.select("query_id", "stream_id", "pos", "list_id", score.alias("score"))
+
+
+def probed_top(scores: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """Top k of scores that are there already, among the rows of each query's probed lists."""
+    return top(scores.join(small(probed.select("query_id", "list_id"), 32), ["query_id", "list_id"], "left_semi"), k)
+
+
+def block_top(scores: DataFrame, k: int, block: int) -> DataFrame:
+    """Top k by blocks of positions: the best k of each block, then the best k of those. The same rows as top(), and no task sorts a query's whole sequence."""
+    w = Window.partitionBy("query_id", "_b").orderBy(F.desc("score"), "pos")
+    held = scores.withColumn("_b", F.floor(F.col("pos") / block)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_b", "_r")
+    return top(held, k)
+
+
+def histogram_top(scores: DataFrame, k: int, bins: int = 256) -> DataFrame:
+    """Top k after a histogram: scores are counted in equal bins between a query's ends, and rows below the bin that the k-th falls in don't meet the sort.
+
+    Exact: the bin's rows all stay. Counts are summed in each task first; a row a query and bin is shuffled.
+    """
+    ends = stash(scores.groupBy("query_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi")), "ends")
+    held = scores.join(small(ends, 32), "query_id")
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    held = held.withColumn("_b", F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("_lo")) / width))).otherwise(0))
+    w = Window.partitionBy("query_id").orderBy(F.desc("_b"))
+    counts = held.groupBy("query_id", "_b").agg(F.count("*").alias("_n")).withColumn("_ahead", F.sum("_n").over(w) - F.col("_n"))
+    least = stash(counts.filter(F.col("_ahead") < k).groupBy("query_id").agg(F.min("_b").alias("_least")), "bins")
+    return top(held.join(small(least, 32), "query_id").filter(F.col("_b") >= F.col("_least")).select(*scores.columns), k)
 
 
 def probes(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:

@@ -56,23 +56,26 @@ def _replicates(label: str, by_task: list[np.ndarray], seed: int, replicates: in
 
 
 def bootstrap(pairs: DataFrame, seed: int = SEED, replicates: int = REPLICATES) -> DataFrame:
-    """(label, task, n, diff, low, high, se, contains_zero): for pairs(label, task, _id, a, b), the mean difference of each task and, as task `macro`, their mean, with
-    percentile 95 % bounds and the deviation of the same replicates. A comparison is one group: its size is that of one evaluation."""
+    """(label, task, n, diff, low, high, se, contains_zero, nonzero): for pairs(label, task, _id, a, b), the mean difference of each task and, as task `macro`, their mean
+    and, as task `weighted`, that of all samples, with percentile 95 % bounds and the deviation of the same replicates, and how many samples differ. A comparison is
+    one group: its size is that of one evaluation."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         label = pdf["label"].iloc[0]
         pdf = pdf.sort_values(["task", "_id"])
         groups = [(t, (g["a"] - g["b"]).to_numpy(float)) for t, g in pdf.groupby("task")]
         reps = _replicates(label, [d for _, d in groups], seed, replicates)
-        rows = [(t, len(d), d.mean(), reps[:, i]) for i, (t, d) in enumerate(groups)]
-        rows.append(("macro", len(pdf), float(np.mean([d.mean() for _, d in groups])), reps.mean(1)))
+        rows = [(t, d, d.mean(), reps[:, i]) for i, (t, d) in enumerate(groups)]
+        every = np.concatenate([d for _, d in groups])
+        rows.append(("macro", every, float(np.mean([d.mean() for _, d in groups])), reps.mean(1)))
+        rows.append(("weighted", every, every.mean(), reps @ np.array([len(d) for _, d in groups]) / len(every)))
         out = []
-        for task, n, diff, r in rows:
+        for task, d, diff, r in rows:
             low, high = np.percentile(r, [2.5, 97.5])
-            out.append((label, task, n, diff, low, high, r.std(ddof=1), bool(low <= 0 <= high)))
-        return pd.DataFrame(out, columns=["label", "task", "n", "diff", "low", "high", "se", "contains_zero"])
+            out.append((label, task, len(d), diff, low, high, r.std(ddof=1), bool(low <= 0 <= high), int((d != 0).sum())))
+        return pd.DataFrame(out, columns=["label", "task", "n", "diff", "low", "high", "se", "contains_zero", "nonzero"])
 
-    return pairs.groupBy("label").applyInPandas(run, "label string, task string, n long, diff double, low double, high double, se double, contains_zero boolean")
+    return pairs.groupBy("label").applyInPandas(run, "label string, task string, n long, diff double, low double, high double, se double, contains_zero boolean, nonzero long")
 
 
 def compare_logits(pairs: DataFrame) -> DataFrame:
@@ -129,6 +132,31 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(float("inf"))).otherwise(a / b)
 
 
+def summary(runs: DataFrame) -> DataFrame:
+    """A row a configuration for runs(name, step, ref_ms, test_ms, ref_nll, test_nll, kl, top1, n_tokens): totals, means, perplexities and their differences and ratios,
+    and speed ratios (infinite where the test took no time)."""
+    n = F.count("*")
+    out = runs.groupBy("name").agg(
+        n.alias("steps"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum("ref_ms").alias("ref_ms"),
+        F.sum("test_ms").alias("test_ms"),
+        F.avg("ref_ms").alias("ref_ms_mean"),
+        F.avg("test_ms").alias("test_ms_mean"),
+        F.coalesce(F.stddev_samp("test_ms"), F.lit(0.0)).alias("test_ms_std"),
+        F.avg("ref_nll").alias("ref_nll"),
+        F.avg("test_nll").alias("test_nll"),
+        F.avg("kl").alias("kl_mean"),
+        F.max("kl").alias("kl_max"),
+        F.avg("top1").alias("top1"),
+    )
+    out = out.withColumn("ref_ppl", F.exp("ref_nll")).withColumn("test_ppl", F.exp("test_nll"))
+    out = out.withColumn("nll_delta", F.col("test_nll") - F.col("ref_nll")).withColumn("ppl_delta", F.col("test_ppl") - F.col("ref_ppl")).withColumn("ppl_ratio", ratio(F.col("test_ppl"), F.col("ref_ppl")))
+    out = out.withColumn("speedup", ratio(F.col("ref_ms"), F.col("test_ms"))).withColumn("slowdown", ratio(F.col("test_ms"), F.col("ref_ms")))
+    per = lambda ms: ratio(1000.0 * F.col("n_tokens"), F.col(ms))
+    return out.withColumn("ref_tokens_a_second", per("ref_ms")).withColumn("test_tokens_a_second", per("test_ms"))
+
+
 def gate(results: DataFrame, most_loss: float = -0.05, least_top1: float = 0.9) -> DataFrame:
     """(n, passed) for results(ref_hit, test_hit, ref_score, test_score, span_top1): both hit, little lost, key span agrees."""
     ok = F.col("ref_hit") & F.col("test_hit") & (F.col("test_score") - F.col("ref_score") >= most_loss) & (F.col("span_top1") >= least_top1)

@@ -21,20 +21,21 @@ from vexil.plans import evalstats as M
 from vexil.plans import taskgen as G
 from vexil.plans.canon import DIM, DIM_VALUE, HYBRID, INDEX, LISTS, LOCAL, PIECES, SCALE, SINK, Canon
 from vexil.sources import logs
-from vexil.streaming import append as R
+from vexil.sources.shared import stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 @functools.lru_cache(8)
-def _built(application: str, sf_dir: str) -> Canon:
+def _built(application: str, sf_dir: str, files: tuple) -> Canon:
     return Canon(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), sf_dir)
 
 
 def canon(spark: SparkSession, sf_dir: str) -> Canon:
-    """An index is built once an application and path, like any table that queries share; a table written anew needs a new path."""
-    return _built(spark.sparkContext.applicationId, sf_dir)
+    """An index is built once an application and state of the table's files (names, sizes, times), like any table that queries share."""
+    files = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return _built(spark.sparkContext.applicationId, sf_dir, tuple(sorted(map(tuple, files.collect()))))
 
 
 def query(sql: str | None = None):
@@ -220,7 +221,7 @@ def k20_health(c: Canon) -> DataFrame:
 
 @query(f"with {COARSE}, s as (select count(*) as rows from a2) select rows, rows * 4 as code_bytes, rows * 2 as list_bytes, 3072::bigint as codebook_bytes, {R6.format('rows * 128 / (rows * 6 + 3072)')} as key_compression_ratio from s")
 def k19_footprint(c: Canon) -> DataFrame:
-    out = ivf.footprint(c.index, DIM_VALUE)
+    out = ivf.footprint(c.index, ivf.packed(c.index))
     return out.select("rows", "code_bytes", "list_bytes", "codebook_bytes", six("key_compression_ratio").alias("key_compression_ratio"))
 
 
@@ -379,7 +380,8 @@ def h4_denominator(c: Canon) -> DataFrame:
 
 @query(f"with {WEIGHTS} {combined('wt')}")
 def h5_full(c: Canon) -> DataFrame:
-    return by_dim(A.attend(c.logits(), replace(HYBRID, value_mode="full"), DIM_VALUE))
+    cfg = replace(HYBRID, value_mode="full")
+    return by_dim(A.attend(c.logits(cfg), cfg, DIM_VALUE))
 
 
 @query(with_background(f"{WEIGHTS}, {MEANS}", "wt", "select query_id, d, w, x from lm join vm using (list_id)"))
@@ -492,11 +494,6 @@ def k11_online_refresh(c: Canon) -> DataFrame:
     return codes.select("pos", F.col("list_id").cast("long").alias("list_id"), F.posexplode("codes").alias("m", "code")).select("pos", "list_id", F.col("m").cast("long").alias("m"), F.col("code").cast("long").alias("code"))
 
 
-@query("select user_id::bigint as stream_id, count(*) as appended, count(*) // 8 as refreshes, count(*) % 8 as pending from events group by 1")
-def r1_append_stream(c: Canon) -> DataFrame:
-    return R.append_counters(c.table("events").select(F.col("user_id").cast("long").alias("stream_id")), 8)
-
-
 @query("with e as (select event_type, value from events) select case when value is null then 'no_value' when value < 10 then 'too_small' when event_type = 'view' then 'excluded' else 'admitted' end as reason, count(*) as n from e group by 1")
 def r12_admission(c: Canon) -> DataFrame:
     rules = [("no_value", F.col("value").isNull()), ("too_small", F.col("value") < 10), ("excluded", F.col("event_type") == "view")]
@@ -577,30 +574,136 @@ def b7_evicted_pages(c: Canon) -> DataFrame:
     return long(B.evicted_pages(c.kv, _voted(c), DIM, DIM_VALUE).select("page", "n", "value"), ["page", "n"], "value")
 
 
-@query(f"with {SCORE}, an as (select pos, k as q from kv, nn where pos >= n - 8), a as (select an.pos as qp, ret.pos, row_number() over (partition by an.pos order by list_inner_product(q, k) desc, ret.pos) as r from an, ret) select distinct pos from a where r <= 5")
-def b8_anchor_neighbours(c: Canon) -> DataFrame:
+ANCHORS, KNN, NEAR, LIST_CAP = 16, 5, 4, 64
+ANCHORED = f"""{SCORE}, an as (select pos, k as q from kv, nn where pos >= n - 128 or pos in (select floor(i * greatest((n - 1) / 15.0::double, 1.0) + 0.5)::bigint from range(16) t(i), nn)),
+lk as (select * from (select an.pos as anchor, ret.pos, row_number() over (partition by an.pos order by list_inner_product(q, k) desc, ret.pos) as r from an, ret) where r <= {KNN}),
+na as (select * from (select query_id, an.pos as anchor, row_number() over (partition by query_id order by list_inner_product(q.q, an.q) desc, an.pos) as r from q, an) where r <= {NEAR}),
+i1 as (select pos, any_value(k) as k, (min({{'d': -list_inner_product(k, c), 'l': list_id}})).l as list_id from ret, c0 group by pos),
+n1 as (select list_id, list(x order by d) as c from (select list_id, d, avg(x) as x from (select list_id, unnest(k) as x, generate_subscripts(k, 1) as d from i1) group by 1, 2) group by 1),
+ic as (select c0.list_id, coalesce(n1.c, c0.c) as c from c0 left join n1 using (list_id)),
+i2 as (select pos, (min({{'d': -list_inner_product(k, c), 'l': list_id}})).l as list_id from ret, ic group by pos),
+il as (select pos, list_id from (select *, row_number() over (partition by list_id order by pos) as r from i2) where r <= {LIST_CAP} // 2),
+ip as (select * from (select query_id, list_id, row_number() over (partition by query_id order by list_inner_product(q, c) desc, list_id) as r from q, ic) where r <= 2),
+cn as (select query_id, lk.pos from na join lk using (anchor) union select query_id, il.pos from ip join il using (list_id)),
+af as (select query_id, pos from (select query_id, pos, row_number() over (partition by query_id order by logit desc, pos) as r from cn join ex using (query_id, pos)) where r <= 10)"""
+
+
+def _anchored(c: Canon) -> DataFrame:
     n = (c.kv.agg(F.max("pos")).first()[0] or 0) + 1
-    anchored = B.anchors(c.kv.withColumn("n", F.lit(n)).filter(F.col("pos") >= n - 8), 8).select(F.col("pos").alias("query_id"), "stream_id", F.col("key").alias("q"))
-    return B.nearest_to_anchors(anchored, c.retrieval, 5, DIM).select("pos")
+    return B.anchors(c.kv.withColumn("n", F.lit(n)), ANCHORS, LOCAL).select(F.col("pos").alias("query_id"), "stream_id", F.col("key").alias("q"))
+
+
+def _anchored_candidates(c: Canon) -> DataFrame:
+    return B.anchored_candidates(c.queries, _anchored(c), c.retrieval.select("stream_id", "pos", "key"), c.first(LISTS), DIM, KNN, NEAR, 2, LIST_CAP, 1 << 20)
+
+
+@query(f"with {ANCHORED} select distinct pos from lk")
+def b8_anchor_neighbours(c: Canon) -> DataFrame:
+    return B.nearest_keys(_anchored(c), c.retrieval, KNN, DIM).select("pos").distinct()
+
+
+@query(f"with {ANCHORED} select query_id, pos from cn")
+def b8_candidates(c: Canon) -> DataFrame:
+    return _anchored_candidates(c).select("query_id", "pos")
+
+
+@query(attention_sql(ANCHORED, "select query_id, logit, v from ex where region <> 'retrieval' union all select ex.query_id, logit, v from ex join af using (query_id, pos)"))
+def b8_attention(c: Canon) -> DataFrame:
+    return by_dim(B.anchored_attention(c.queries, c.regions, stash(_anchored_candidates(c), "candidates"), 10, SCALE, DIM, DIM_VALUE))
+
+
+TRUE = f"""{PAGE_MEANS}, tl as (select query_id, pos // 16 as page, logit, max(logit) over (partition by query_id, pos // 16) as m from ex),
+tr as (select query_id, page, any_value(m) + ln(sum(exp(logit - m)) / count(*)) as t from tl group by 1, 2),
+mu as (select query_id, page, list_inner_product(q, k) * 0.125 as mean from q, km),
+sh as (select query_id, avg(t - score * 0.125) as shift from tr join ps using (query_id, page) join bp using (query_id, page) group by 1)"""
+
+
+def page_mode_sql(logit: str, value: str = "v") -> str:
+    """logit from t (true), u (bound), mean and shift."""
+    rest = f"select query_id, {logit} + ln(n), {value} from (select query_id, page, t, score * 0.125 as u, mean, shift from tr join ps using (query_id, page) join mu using (query_id, page) join sh using (query_id)) join km using (page) join pv using (page) anti join bp using (query_id, page)"
+    return attention_sql(TRUE, f"{PAGE_HIT} union all {rest}")
+
+
+def _page_mode(mode: str, sql: str) -> None:
+    def run(c: Canon) -> DataFrame:
+        return by_dim(B.page_background(c.queries, c.kv, _pages(c), SCALE, DIM, DIM_VALUE, mode))
+
+    run.__name__ = f"b3_{mode}"
+    query(sql)(run)
+
+
+_page_mode("ub_margin", page_mode_sql("(u - (u - mean) / 2)"))
+_page_mode("ub_calibrated", page_mode_sql("(u + shift)"))
+_page_mode("alpha_true", page_mode_sql("t"))
+_page_mode("trunc_true", page_mode_sql("t", "null::double[]"))
+
+
+@query(
+    attention_sql(
+        f"{VOTES}, gk as (select pos // 16 as page, k, v from kv anti join lk using (pos)), gm as (select page, list(x order by d) as k, any_value(n) as n from (select page, d, avg(x) as x, count(*) as n from (select page, unnest(k) as x, generate_subscripts(k, 1) as d from gk) group by 1, 2) group by 1),"
+        " gv as (select page, list(x order by d) as v from (select page, d, avg(x) as x from (select page, unnest(v) as x, generate_subscripts(v, 1) as d from gk) group by 1, 2) group by 1)",
+        "select query_id, list_inner_product(q, k) * 0.125 as logit, v from q, (select * from kv semi join lk using (pos)) union all select query_id, list_inner_product(q, k) * 0.125 + ln(n), v from q, (select * from gm join gv using (page))",
+    )
+)
+def b7_evicted_background(c: Canon) -> DataFrame:
+    return by_dim(B.evicted_background(c.queries, c.kv, stash(_voted(c), "kept"), SCALE, DIM, DIM_VALUE))
+
+
+def _numbers(x) -> str:
+    """Numbers as DuckDB reads them: doubles, not decimals."""
+    return "[" + ", ".join(_numbers(y) if hasattr(y, "__len__") else f"{float(y):.17e}" for y in x) + "]"
+
+
+FINAL = 10
+_LEVEL, _EDGE = B.lloyd_max(DIM // PIECES)
+_QUANT = "case " + " ".join(f"when abs(u) <= {e:.17e} then {lv:.17e}" for lv, e in zip(_LEVEL, _EDGE)) + f" else {_LEVEL[-1]:.17e} end * case when u >= 0 then 1.0 else -1.0 end"
+COLLIDE = f"""{SCORE}, ro as (select {_numbers(V.rotation(DIM, B.TURN_SEED).T)} as t),
+zk as (select pos, sqrt(list_inner_product(k, k)) as l, [list_inner_product(u, c) for c in t] as z from (select pos, k, t, [x / greatest(sqrt(list_inner_product(k, k)), 1e-12) for x in k] as u from ret, ro)),
+zq as (select query_id, [list_inner_product(u, c) for c in t] as z from (select query_id, t, [x / greatest(sqrt(list_inner_product(q, q)), 1e-12) for x in q] as u from q, ro)),
+px as (select query_id, pos, m, round(list_sum([zq.z[m * 8 + i] * case when zk.z[m * 8 + i] >= 0 then 1.0 else -1.0 end for i in range(1, 9)]), 9) as x from zq, zk, range(8) t(m)),
+pr_ as (select query_id, pos, row_number() over (partition by query_id, m order by x desc, pos) as r, greatest(1, least(n, ceil({B.RHO}::double * n))) as w from px, (select count(*) as n from ret)),
+cs as (select query_id, pos, sum(case {" ".join(f"when r <= least(w, ceil({s}::double * w)) then {g}" for g, s in B.TIERS)} else 0 end)::bigint as score from pr_ group by 1, 2),
+cc as (select query_id, pos, score from (select *, row_number() over (partition by query_id order by score desc, pos) as r from cs) where r <= (select greatest({FINAL}, ceil({B.BETA}::double * count(*))) from ret)),
+cu as (select query_id, pos, score, l, m, r, [x / greatest(r, 1e-12) for x in zz] as us, zq.z[m * 8 + 1 : m * 8 + 8] as qs
+  from (select cc.*, l, m, z[m * 8 + 1 : m * 8 + 8] as zz, sqrt(list_inner_product(z[m * 8 + 1 : m * 8 + 8], z[m * 8 + 1 : m * 8 + 8])) as r from cc join zk using (pos), range(8) t(m)) join zq using (query_id)),
+cv as (select *, [x / greatest(sqrt(list_inner_product(vs, vs)), 1e-12) for x in vs] as vh from (select *, [{_QUANT} for u in us]::double[] as vs from cu)),
+ce as (select query_id, pos, any_value(score) as score, round(sum(r * list_inner_product(qs, vh) / greatest(list_inner_product(us, vh), 1e-3)) * any_value(l), 9) as est from cv group by 1, 2),
+cf as (select query_id, pos, score, rank from (select *, row_number() over (partition by query_id order by est desc, pos) as rank from ce) where rank <= {FINAL})"""
+
+
+def _collided(c: Canon) -> DataFrame:
+    return B.collided(c.queries, c.regions, FINAL, DIM, PIECES)
 
 
-COLLIDE = f"""{KV}, un as (select query_id, pos, q, k from q, ret), sg as (select query_id, pos, m, list_sum([q[m * 8 + i] * case when k[m * 8 + i] >= 0 then 1.0 else -1.0 end for i in range(1, 9)]::double[]) as x from un, range(8) t(m)),
-pl as (select query_id, pos, 100 * row_number() over (partition by query_id, m order by round(x, 9) desc, pos) / count(*) over (partition by query_id, m) as p from sg),
-cs as (select query_id, pos, sum(case when p <= 5 then 6 when p <= 15 then 5 when p <= 30 then 4 when p <= 50 then 3 when p <= 75 then 2 else 1 end)::bigint as score from pl group by 1, 2)"""
+@query(f"with {COLLIDE} select query_id, pos, score, rank from cf")
+def b9_collision(c: Canon) -> DataFrame:
+    return _collided(c).select("query_id", "pos", "score", "rank")
 
 
 @query(f"with {SCORE} select query_id, pos, rank from (select query_id, pos, row_number() over (partition by query_id order by list_inner_product(q, k) desc, pos) as rank from q, ret) where rank <= 10")
 def b9_exact_top(c: Canon) -> DataFrame:
-    """What the collision selector is measured against; the selector itself ranks sums whose ties differ in their last bit by engine, so tests compare it."""
+    """What the collision selector is measured against."""
     logits = A.exact(c.queries, c.retrieval, 1.0, DIM, ["pos"])
     return S.top(logits, 10, "logit").select("query_id", "pos", "rank")
 
 
-@query()
-def b9_collision(c: Canon) -> DataFrame:
-    scores = B.collisions(c.queries, c.retrieval, DIM, PIECES)
-    level, edge = B.lloyd_max(DIM)
-    return B.reranked(c.queries, c.retrieval, scores, 64, 10, DIM, level, edge).select("query_id", "pos", "rank")
+@query("select i - 1 as place, round(level[i], 6) as level, round(edge[i], 6) as edge from (select " + _numbers(_LEVEL) + " as level, " + _numbers(_EDGE) + " as edge), range(1, 9) t(i)")
+def b10_levels(c: Canon) -> DataFrame:
+    """The quantizer's eight levels and seven thresholds; tests hold them against their defining equations."""
+    level, edge = B.lloyd_max(DIM // PIECES)
+    rows = [(i, float(x), float(edge[i]) if i < len(edge) else None) for i, x in enumerate(level)]
+    return c.spark.createDataFrame(rows, "place long, level double, edge double").withColumns({"level": six("level"), "edge": six("edge")})
+
+
+@query(attention_sql(COLLIDE, "select query_id, logit, v from ex where region <> 'retrieval' union all select ex.query_id, logit, v from ex join cf using (query_id, pos)"))
+def b11_attention(c: Canon) -> DataFrame:
+    return by_dim(B.selected_attention(c.queries, c.regions, stash(_collided(c), "chosen"), SCALE, DIM, DIM_VALUE))
+
+
+@query(f"with {COLLIDE} select count(*) as n_records, 0.0::double as skipped_share, {R6.format('avg(132.0 + ' + str(FINAL) + ')')}::double as mean_budget, {R6.format('avg(s / ' + str(sum(w for w, _ in B.TIERS) * PIECES) + ')')}::double as mean_collision_share from (select query_id, avg(score) as s from cf group by 1)")
+def b12_stats(c: Canon) -> DataFrame:
+    out = B.selector_stats(c.queries, c.regions, stash(_collided(c), "chosen"), PIECES, FINAL)
+    return out.select("n_records", *(six(x).alias(x) for x in ("skipped_share", "mean_budget", "mean_collision_share")))
 
 
 # variants
@@ -794,6 +897,74 @@ def e9_first_int(c: Canon) -> DataFrame:
     return c.table("documents").select("doc_id", E.first_int(text, F.lit("1")).alias("score"), (F.regexp_extract(text, r"(\d+)", 1) != "").cast("long").alias("has_digits"))
 
 
+#: Predictions that begin or end in a choice, made of the turns.
+SAID = """pr as (select conv_id, turn, case (conv_id + turn) % 6 when 0 then 'B' || text when 1 then 'x, answer is: C ' || text when 2 then 'the answer is (A) ' || text
+when 3 then text || ' answer:' when 4 then 'so. D ' || text else text end as pred, ['A', 'B', 'C', 'D', 'AB'][1 + conv_id % 5] as label from conversations)"""
+
+
+def _said(c: Canon) -> DataFrame:
+    k, text = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)), F.col("text")
+    pred = F.when(k == 0, F.concat(F.lit("B"), text)).when(k == 1, F.concat(F.lit("x, answer is: C "), text)).when(k == 2, F.concat(F.lit("the answer is (A) "), text))
+    pred = pred.when(k == 3, F.concat(text, F.lit(" answer:"))).when(k == 4, F.concat(F.lit("so. D "), text)).otherwise(text)
+    label = F.get(F.array(*map(F.lit, ("A", "B", "C", "D", "AB"))), F.pmod("conv_id", F.lit(5)).cast("int"))
+    return c.table("conversations").select("conv_id", "turn", pred.alias("pred"), label.alias("label"))
+
+
+def _phrase_sql(phrase: str) -> str:
+    then = f"substr(p, strpos(p, '{phrase}') + {len(phrase)} + 1, 1)"
+    return f"when strpos(p, '{phrase}') > 0 then {then} <> '' and contains(label, {then})"
+
+
+BLANKS = " " * 9
+
+
+def _blanked(text: str, colon: str = "") -> str:
+    """Punctuation that counts as blanks, for DuckDB."""
+    return f"""translate({text}, chr(10) || '{colon}"' || chr(39) || '.,?!{{}}', '{BLANKS}{" " * len(colon)}')"""
+
+
+@query(
+    f"with {SAID}, cl as (select *, regexp_replace({_blanked('pred')}, ' {{2,}}', ' ', 'g') as p from pr),"
+    f" sc as (select conv_id, turn, case when pred <> '' and contains('ABCD', pred[1]) then pred[1] = label {' '.join(map(_phrase_sql, E.PHRASES))}"
+    r" else coalesce(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '' and contains('ABCD', w))[1] = label, false) end as hit from cl) select conv_id, turn, case when hit then 1.0 else 0.0 end::double as score from sc"
+)
+def e9_choice(c: Canon) -> DataFrame:
+    return _said(c).select("conv_id", "turn", E.choice_score(F.col("pred"), F.col("label")).alias("score"))
+
+
+@query(
+    "with p as (select conv_id, turn, text, string_split(text, ' ')[3] as label from conversations) select conv_id, turn, case when list_contains(regexp_split_to_array("
+    + _blanked("text", ":")
+    + r", '\s+'), label) then 1.0 else 0.0 end::double as score from p"
+)
+def e9_kv(c: Canon) -> DataFrame:
+    text = F.col("text")
+    return c.table("conversations").select("conv_id", "turn", E.kv_score(text, F.get(F.split(text, " "), F.lit(2))).alias("score"))
+
+
+@query(
+    r"with p as (select doc_id, regexp_extract(text, '\d+\.\d+|\d+') as x, ['555', '3.5', '1', '10.0'][1 + doc_id % 4] as label from documents)"
+    " select doc_id, case when x = '' then 0.0 when contains(label, '.') then (try_cast(x as double) = try_cast(label as double))::int::double when contains(x, '.') then 0.0 else coalesce((try_cast(x as bigint) = try_cast(label as bigint))::int::double, 0.0) end as score from p"
+)
+def e9_math(c: Canon) -> DataFrame:
+    label = F.get(F.array(*map(F.lit, ("555", "3.5", "1", "10.0"))), F.pmod("doc_id", F.lit(4)).cast("int"))
+    return c.table("documents").select("doc_id", E.math_score(F.col("text"), label).alias("score"))
+
+
+@query(
+    f"with {TURNS}, k as (select *, string_split(truth, ' ') as answers, (conv_id % 3)::int as k from tu),"
+    r" s as (select conv_id, turn, k, len(list_filter(answers, lambda a: contains(lower(pred), lower(a)))) / len(answers) as every, list_bool_or([contains(lower(pred), lower(a)) for a in answers]) as hit,"
+    r" list_max([case when len(regexp_extract_all(pred, '(\d+)')) = 0 then 0.0 else len(list_filter(regexp_extract_all(pred, '(\d+)'), lambda x: x = a)) / len(regexp_extract_all(pred, '(\d+)')) end for a in answers]) as n from k)"
+    " select conv_id, turn, round(case k when 0 then every when 1 then n else case when hit then 1.0 else 0.0 end end, 6)::double as score from s where k < 2 or hit"
+)
+def e7_by_task(c: Canon) -> DataFrame:
+    """Tasks by conversation; of those scored in part, the turns that hold an answer (the others are e2_f1's)."""
+    rows = _turns(c).withColumn("task", F.get(F.array(*map(F.lit, ("match_all", "count", "match_part"))), F.pmod("conv_id", F.lit(3)).cast("int")))
+    rows = rows.withColumn("answers", F.split("truth", " "))
+    some = F.exists("answers", lambda a: F.lower("pred").contains(F.lower(a)))
+    return rows.filter((F.col("task") != "match_part") | some).select("conv_id", "turn", six(E.by_task(F.col("task"), F.col("pred"), F.col("answers"))).alias("score"))
+
+
 @query("select conv_id, turn, md5(ltrim(list_last(string_split(text, '</think>')))) as rest from conversations")
 def e10_strip_think(c: Canon) -> DataFrame:
     return c.table("conversations").select("conv_id", "turn", F.md5(E.without_thought(F.col("text"))).alias("rest"))
@@ -810,6 +981,7 @@ def g8_truncate(c: Canon) -> DataFrame:
 
 @query("with t as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, s::bigint as start, md5(array_to_string(w[s + 1 : s + 16], ' ')) as piece from t, (select unnest([0, 16, 48]) as s) where len(w) >= 64")
 def g10_windows(c: Canon) -> DataFrame:
+    """Of documents that all three windows fit in: a window that reaches beyond the tokens is an error, which a test looks at."""
     rows = c.table("documents").select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 64)
     return G.windows(rows, "w", [0, 16, 48], 16).select("doc_id", F.col("start").cast("long").alias("start"), F.md5(F.concat_ws(" ", "window")).alias("piece"))
 
@@ -867,3 +1039,7 @@ def u3_jaccard(c: Canon) -> DataFrame:
     best = S.top(S.approximate(c.queries, c.index), 10)
     sets = best.groupBy("query_id").agg(F.collect_list("pos").alias("members")).select(F.lit(0).alias("stream_id"), F.col("query_id").alias("step"), "members")
     return M.jaccard_steps(sets).select("step", six("jaccard").alias("jaccard"))
+
+
+# registers the queries of upkeep, layout and selection in the same tables
+from vexil.plans import upkeep  # noqa: E402, F401

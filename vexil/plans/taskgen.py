@@ -11,8 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The filler sentences (fixed value).
 FILLER = "The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again."
-KINDS = ("single", "multi_key", "multi_query", "multi_value", "chain", "common_words", "frequent_words", "passkey")
+KINDS = ("single", "multi_key", "multi_query", "multi_value", "chain", "common_words", "frequent_words", "passkey", "qa")
+#: Places that a question is about (any will do).
+CITIES = ("Quito", "Turku", "Kobe", "Split", "Accra", "Hobart")
 
 
 def scatter(rng: np.random.Generator, needles: list[str], words: int) -> str:
@@ -59,6 +62,9 @@ def sample(kind: str, sample_id: int, words: int, seed: int = 0) -> tuple[str, l
         n.columns = ["word", "n"]
         best = n.sort_values(["n", "word"], ascending=[False, True])["word"].tolist()[1:4]
         return "Text: " + " ".join(bag) + " Which words are second to fourth most frequent?", best, {"words": str(len(bag))}
+    if kind == "qa":
+        city, year = rng.choice(CITIES), str(rng.integers(1400, 1901))
+        return scatter(rng, [f"{city} was founded in the year {year}."], words) + f" In what year was {city} founded?", [year], {"needles": "1"}
     key = str(rng.integers(10_000, 100_000))
     return passkey(words, 0.5, key), [key], {"depth": "0.5"}
 
@@ -73,6 +79,12 @@ def passkey(words: int, depth: float, key: str) -> str:
     return " ".join(hay[:at] + needle + hay[at:])
 
 
+def passkey_prompt(words: int, depth: float, key: Column) -> Column:
+    """passkey() of a column of keys: the filler and the place are the same for all."""
+    head, tail = passkey(words, depth, "\x00").split("\x00")
+    return F.concat(F.lit(head), key, F.lit(tail))
+
+
 def samples(ids: DataFrame, kind: str, words: int, seed: int = 0) -> DataFrame:
     """(_id, task, prompt, answers, gen_meta) for ids(id)."""
 
@@ -92,6 +104,18 @@ def largest_that_fits(size: Callable[[int], int], budget: int, low: int = 1, hig
     return low
 
 
+def largest_fit(size: Callable[[Column], Column], budget: Column, low: int, high: int) -> Column:
+    """largest_that_fits() of a column of budgets, by halving: as many steps as the range has bits, none of them a look at the rows."""
+    start = F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["low"] + at["high"] + 1) / 2)
+        fits = size(mid) <= budget
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(fits, mid).otherwise(at["low"]).alias("low"), F.when(fits, at["high"]).otherwise(mid - 1).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, (high - low).bit_length()))), start, halve)["low"]
+
+
 def filled(tokens: Column, size: int) -> Column:
     """The list repeated and cut to exactly `size`."""
     times = F.ceil(F.lit(float(size)) / F.greatest(F.lit(1), F.size(tokens))).cast("int")

@@ -49,6 +49,29 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report of a few rows as line-wise JSON in one file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+#: Rows of long-context question sets (fixed names).
+LONG_ROWS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("_id", "dataset", "language", "context", "input")]
+    + [T.StructField("answers", T.ArrayType(T.StringType())), T.StructField("all_classes", T.ArrayType(T.StringType())), T.StructField("length", T.LongType())]
+)
+
+
+def long_rows(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """Rows of such a set, of one dataset if it is named; a line that doesn't parse has nulls and goes."""
+    rows = spark.read.schema(LONG_ROWS).json(path).filter("_id is not null")
+    return rows.filter(F.col("dataset") == dataset) if dataset else rows
+
+
+def dump_rank_stats(objects: DataFrame, path: str) -> None:
+    """objects(rank, value), value being a JSON object name -> number, each in a file of its own."""
+    objects.select("rank", "value").write.partitionBy("rank").mode("overwrite").text(path)
+
+
 def corpus(texts: DataFrame, first: int, most: int, order: str = "doc_id") -> DataFrame:
     """One row (tokens): the first texts that aren't blank joined by an empty line, split at blanks, cut to `most` tokens; `enough` tells if there were as many."""
     held = texts.filter(F.trim("text") != "").orderBy(order).limit(first)

@@ -17,7 +17,11 @@ from vexil.operators import attention as A
 from vexil.operators import ivf
 from vexil.operators import kmeans as K
 from vexil.operators.config import AttentionConfig, IndexConfig
-from vexil.sources.shared import stash
+from vexil.sources.shared import small, stash
+
+
+#: Written parts of a stream's rows before they become one.
+PARTS = 16
 
 
 @dataclass
@@ -43,6 +47,7 @@ class Stream:
     pending: int = 0
     waiting: bool = False
     since_refresh: int = 0
+    parts: int = 1
     counters: Counters = field(default_factory=Counters)
 
     @property
@@ -69,7 +74,7 @@ class Stream:
 
     def append(self, new: DataFrame, count: int = 1) -> None:
         """new(stream_id, pos, key, value) at positions length to length + count - 1: local at once, indexed when update_interval rows are pending."""
-        self.rows = stash(self.rows.unionByName(new.select("stream_id", "pos", "key", "value")), "rows")
+        self._add(new)
         self.length += count
         self.pending += count
         if self.pending >= self.attention.update_interval:
@@ -79,6 +84,18 @@ class Stream:
             else:
                 self._refresh()
 
+    def _add(self, new: DataFrame) -> None:
+        """Writes the new rows only; every PARTS appends the parts are written as one, so a row is written again once in PARTS appends and plans stay short."""
+        self.rows = self.rows.unionByName(stash(new.select("stream_id", "pos", "key", "value"), "rows"))
+        self.parts += 1
+        if self.parts >= PARTS:
+            self.rows, self.parts = stash(self.rows, "rows"), 1
+            self.index = self.index and replace(self.index, codes=stash(self.index.codes, "codes"))
+
+    def _coded(self, index: ivf.Index, new: DataFrame) -> ivf.Index:
+        """index with the new codes written beside the old ones, which stay where they are."""
+        return replace(index, codes=self.index.codes.unionByName(stash(new, "codes")))
+
     def apply_pending(self) -> bool:
         """Does what was deferred; whether there was any."""
         if not self.waiting:
@@ -100,12 +117,12 @@ class Stream:
                 self.index = ivf.online_refresh(self.index, self.between(self.sink_end, last), new)
                 self.counters.online_updates += 1
             elif self.attention.strategy == "deferred":
-                self.index = ivf.delta_flush(self.index, new)
-                self.index = replace(self.index, codes=stash(self.index.codes, "codes"))
+                moved = ivf.moved(self.index, new)
+                self.index = self._coded(moved, ivf.coded(new, moved.coarse, moved.codebook, moved.config, moved.dim, moved.rotation))
                 self.counters.online_updates += 1
             else:
-                self.index = ivf.add(self.index, new)
-                self.index = replace(self.index, codes=stash(self.index.codes, "codes"))
+                at = self.index
+                self.index = self._coded(at, ivf.coded(new, at.coarse, at.codebook, at.config, at.dim, at.rotation))
                 self.counters.adds += 1
 
     def _rebuild(self) -> None:
@@ -144,7 +161,8 @@ class Stream:
         number of flushes."""
         if start > self.length:
             raise ValueError("start lies beyond the rows")
-        self.rows = stash(self.rows.filter(F.col("pos") < start).unionByName(new.select("stream_id", "pos", "key", "value")), "rows")
+        self.rows = self.rows.filter(F.col("pos") < start)
+        self._add(new)
         self.length, flushes = start, 0
         for at in range(0, count, flush_every):
             size = min(flush_every, count - at)
@@ -201,6 +219,37 @@ def causal(logits: DataFrame, at: Column) -> DataFrame:
     return logits.filter(F.col("pos") <= at)
 
 
+def prefix_matches(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, prefix_id, length): for requests(request_id, ids) and stored(prefix_id, length, digest) prefixes, the longest one that a request begins with; ties go to
+    the smaller prefix_id. A request is digested once for each length that is stored, and meets prefixes by length and digest."""
+    lengths = small(stored.select("length").distinct(), 16)
+    asked = requests.join(lengths, F.size("ids") >= F.col("length")).select("request_id", "length", prefix_digest(F.col("ids"), F.col("length")).alias("digest"))
+    found = asked.join(stored, ["length", "digest"])
+    return found.groupBy("request_id").agg(F.max(F.struct("length", (-F.col("prefix_id")).alias("p"))).alias("b")).select("request_id", (-F.col("b.p")).alias("prefix_id"), "b.length")
+
+
+def prefix_digest(ids: Column, length: Column) -> Column:
+    return F.md5(F.concat_ws(",", F.slice(ids, F.lit(1), length).cast("array<string>")))
+
+
+def verdicts(steps: DataFrame, states: DataFrame, least: int) -> DataFrame:
+    """(step, verdict) for steps(step, request_id, rows) and states(request_id, length): a whole step is refused if a request has no state, has not one row, or is too short,
+    in that order; else it is `admitted`."""
+    rows = steps.join(states, "request_id", "left").groupBy("step")
+    out = rows.agg(F.max(F.col("length").isNull().cast("int")).alias("m"), F.max((F.col("rows") != 1).cast("int")).alias("r"), F.max((F.col("length") < least).cast("int")).alias("s"))
+    return out.select("step", F.when(F.col("m") == 1, "missing_id").when(F.col("r") == 1, "not_one_row").when(F.col("s") == 1, "too_short").otherwise("admitted").alias("verdict"))
+
+
+def live_states(states: DataFrame, live: DataFrame) -> DataFrame:
+    """states(request_id, ...) of requests that are still there."""
+    return states.join(live.select("request_id").distinct(), "request_id", "left_semi")
+
+
+def action(known: Column, length: Column, extendable: Column) -> Column:
+    """next_action() as a column."""
+    return F.when(known.isNull(), "rebuild").when(length == known + 1, "append").when(length <= known, "restore").when(extendable, "extend").otherwise("rebuild")
+
+
 def digest(ids: list[int]) -> str:
     return hashlib.blake2b(b",".join(str(i).encode() for i in ids), digest_size=16).hexdigest()
 
@@ -245,12 +294,6 @@ class Requests:
         return None
 
 
-def append_counters(appends: DataFrame, interval: int) -> DataFrame:
-    """(stream_id, appended, refreshes, pending): what appending a stream's rows one by one counts up to."""
-    n = appends.groupBy("stream_id").agg(F.count("*").alias("appended"))
-    return n.select("stream_id", "appended", F.floor(F.col("appended") / interval).cast("long").alias("refreshes"), F.pmod("appended", F.lit(interval)).cast("long").alias("pending"))
-
-
 def each_batch(stream: Stream) -> Callable[[DataFrame, int], None]:
     """For writeStream.foreachBatch: appends a micro-batch of (stream_id, pos, key, value). A batch that comes again after a failure adds nothing: its positions are
     there already."""
