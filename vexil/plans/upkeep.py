@@ -384,8 +384,8 @@ HAY = [w for _ in range(40) for w in G.FILLER.split()]
 
 
 @query(
-    f"with h as (select {HAY!r}::varchar[][1:193] as hay), a as (select hay, max(i) as at from h, range(1, 97) t(i) where hay[i][-1] = '.' group by hay)"
-    " select item_id, md5(array_to_string(list_concat(hay[1:at], list_concat(string_split('The pass key is ' || (10000 + item_id) || '. Remember it.', ' '), hay[at + 1 : len(hay)])), ' ')) as prompt from benchmark, a"
+    f"with h as (select ({HAY!r}::varchar[])[1:193] as hay), a as (select hay, max(i) as cut from h, range(1, 97) t(i) where hay[i][-1] = '.' group by hay)"
+    " select item_id, md5(array_to_string(list_concat(hay[1:cut], list_concat(string_split('The pass key is ' || (10000 + item_id) || '. Remember it.', ' '), hay[cut + 1 : len(hay)])), ' ')) as prompt from benchmark, a"
 )
 def g6_passkey(c: Canon) -> DataFrame:
     """Two hundred words exactly, the needle at the sentence end nearest below the middle."""
