@@ -23,7 +23,7 @@ ROUNDS, HEADS = 3, 4
 #: Members of a bucket that are dealt together; a larger bucket has several parts, and its head goes to each.
 PART = 1024
 #: Bits that tell sets apart before their shingles are compared.
-ODD = 1024
+ODD = 512
 _CHUNK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 2**64, PERMS, dtype=np.uint64)
@@ -129,13 +129,14 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     places of the shared shingle on (true of the first shared one); and the bits in which the sets differ.
     """
     mine = _of(left.select(F.col("rep").alias("doc_id")).distinct(), sets)
-    held = stash(mine.select("doc_id", "d1", "odd", F.explode("shingles").alias("s")), "shingles")
+    held = stash(mine.select("doc_id", "d1", F.explode("shingles").alias("s")), "shingles")
     often = held.groupBy("s").agg(F.count("*").alias("df"))
-    order = held.join(often, "s").groupBy(F.col("doc_id").alias("rep"), "d1", "odd").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("order"))
+    order = held.join(often, "s").groupBy(F.col("doc_id").alias("rep"), "d1").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("order"))
     n = F.size("order")
     head = F.slice("order", F.lit(1), n - F.floor((percent * n + 99) / 100).cast("int") + 1)
-    first = order.select("rep", "odd", n.alias("n"), F.posexplode(head).alias("at", "e")).filter("e.df > 1").select("rep", "odd", "n", "at", "e.s")
-    first = stash(first.join(left.select("rep", "comp").distinct(), "rep"), "prefixes")
+    first = order.select("rep", "d1", n.alias("n"), F.posexplode(head).alias("at", "e")).filter("e.df > 1").select("rep", "d1", "n", "at", "e.s")
+    bits = mine.select(F.col("doc_id").alias("rep"), "d1", "odd").dropDuplicates(["rep", "d1"]).join(left.select("rep", "comp").distinct(), "rep")
+    first = first.join(stash(bits, "bits"), ["rep", "d1"]).drop("d1")
     x, y = (first.select("s", *(F.col(c).alias(c + side) for c in ("rep", "n", "at", "comp", "odd"))) for side in "xy")
     ahead = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
     differ = sum((F.bit_count(F.get("oddx", F.lit(i)).bitwiseXOR(F.get("oddy", F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
