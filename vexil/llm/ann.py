@@ -18,7 +18,7 @@ from vexil.llm.common import stash
 
 #: Projections, and the share of them a vector must collide on; first half-width of a window (times the block's largest norm) and its growth; windows grow until this
 #: share of the block, and what is asked for, is verified.
-PROJECTIONS, THRESHOLD, START, GROWTH, VERIFIED = 64, 0.8, 1.0, 1.15, 0.15
+PROJECTIONS, THRESHOLD, START, GROWTH, VERIFIED = 128, 0.9, 1.0, 1.15, 0.12
 #: Vectors and queries a block. A block's norms lie within a factor, up to the last of so many classes of norms.
 BLOCK, QUERY_BLOCK, FACTOR, CLASSES = 8192, 2048, 0.9, 32
 _AT_ONCE = 256
