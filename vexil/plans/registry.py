@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vexil.functions import textscore as E
 from vexil.functions import vectors as V
 from vexil.operators import attention as A
+from vexil.operators import blocks
 from vexil.operators import ivf
 from vexil.operators import kmeans as K
 from vexil.operators import search as S
@@ -430,8 +431,7 @@ def h15_sink_local(c: Canon) -> DataFrame:
 @query(attention_sql(SCORE, "select query_id, logit, v from ex"))
 def h16_lse_merge(c: Canon) -> DataFrame:
     """Attention over retrieval rows and over the others, merged; equal to h1_dense."""
-    logits = A.exact(c.queries, c.regions, SCALE, DIM).withColumn("part", F.col("region") == "retrieval")
-    return by_dim(A.merge_partial(A.partial(logits, "part", DIM_VALUE), DIM_VALUE))
+    return by_dim(A.merge_partial(blocks.partial(c.queries, c.regions, SCALE, DIM, DIM_VALUE, F.col("region") == "retrieval"), DIM_VALUE))
 
 
 @query(f"with {RANKED} select query_id, count(*) filter (region = 'sink') as n_sink, count(*) filter (region = 'local') as n_local, count(*) filter (region = 'retrieval' and chosen) as n_chosen, count(*) filter (not chosen) as n_background, {R6.format('count(*) filter (chosen) / count(*)')} as exact_share from lg group by 1")
@@ -683,8 +683,7 @@ def b9_collision(c: Canon) -> DataFrame:
 @query(f"with {SCORE} select query_id, pos, rank from (select query_id, pos, row_number() over (partition by query_id order by list_inner_product(q, k) desc, pos) as rank from q, ret) where rank <= 10")
 def b9_exact_top(c: Canon) -> DataFrame:
     """What the collision selector is measured against."""
-    logits = A.exact(c.queries, c.retrieval, 1.0, DIM, ["pos"])
-    return S.top(logits, 10, "logit").select("query_id", "pos", "rank")
+    return S.top(blocks.nearest(c.queries, c.retrieval, 10, 1.0, DIM), 10, "logit").select("query_id", "pos", "rank")
 
 
 @query("select i - 1 as place, round(level[i], 6) as level, round(edge[i], 6) as edge from (select " + _numbers(_LEVEL) + " as level, " + _numbers(_EDGE) + " as edge), range(1, 9) t(i)")
@@ -796,7 +795,7 @@ def m3_compare(c: Canon) -> DataFrame:
     f" select et.query_id, {R6.format('count(ca.pos) / 10')} as recall from et left join (select * from ca where rank <= 10) ca using (query_id, pos) group by 1"
 )
 def m4_recall(c: Canon) -> DataFrame:
-    best = S.top(A.exact(c.queries, c.retrieval, SCALE, DIM, ["pos"]), 10, "logit")
+    best = S.top(blocks.nearest(c.queries, c.retrieval, 10, SCALE, DIM), 10, "logit")
     return M.recall(best, S.search(c.queries, c.index, 10, 2)["topk"], 10).select("query_id", six("recall").alias("recall"))
 
 
