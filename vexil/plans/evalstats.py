@@ -97,6 +97,28 @@ def compare_logits(pairs: DataFrame) -> DataFrame:
         F.max(((F.col("_pr") == 1) & (F.col("_pt") == 1)).cast("int")).alias("same"),
         F.max(((F.col("_pr") == 1) & (F.col("_pt") <= 10)).cast("int")).alias("in10"),
     )
+    return _averaged(per)
+
+
+def compare_parts(parts: DataFrame) -> DataFrame:
+    """compare_logits() of what blocks.compared() makes: a row a step and block, folded a step."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        mr, mt = pdf["mr"].max(), pdf["mt"].max()
+        er, et = np.exp(pdf["mr"] - mr), np.exp(pdf["mt"] - mt)
+        lr, lt = mr + np.log((pdf["sr"] * er).sum()), mt + np.log((pdf["st"] * et).sum())
+        best, at = np.concatenate(pdf["best"].tolist()), np.concatenate(pdf["at"].tolist())
+        found = at[np.lexsort((at, -best))[:10]]
+        top = pdf["first"].to_numpy()[np.lexsort((pdf["first"], -pdf["mr"]))[0]]
+        l2 = np.sqrt(pdf["d2"].sum()) / max(np.sqrt(pdf["r2"].sum()), 1e-12)
+        kl = (pdf["kl"] * er).sum() / (pdf["sr"] * er).sum() - lr + lt
+        return pd.DataFrame({"step": [pdf["step"].iloc[0]], "nr": [lr - pdf["ref"].max()], "nt": [lt - pdf["test"].max()], "kl": [kl], "l2": [l2], "same": [int(top == found[0])], "in10": [int(top in found)]})
+
+    per = parts.groupBy("step").applyInPandas(fold, "step long, nr double, nt double, kl double, l2 double, same int, in10 int")
+    return _averaged(per.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in ("nr", "nt")}))
+
+
+def _averaged(per: DataFrame) -> DataFrame:
     return per.agg(
         F.avg("nr").alias("nll_ref"),
         F.avg("nt").alias("nll_test"),

@@ -784,10 +784,8 @@ def m2_bootstrap(c: Canon) -> DataFrame:
     " select round(avg(nr), 6) as nll_ref, round(avg(nt), 6) as nll_test, round(exp(avg(nt) - avg(nr)), 6) as ppl_ratio, round(avg(kl), 6) as kl, round(avg(l2), 6) as rel_l2, round(avg(s), 6) as top1, round(avg(i), 6) as top1_in_10 from s"
 )
 def m3_compare(c: Canon) -> DataFrame:
-    ref = A.exact(c.queries, c.retrieval, SCALE, DIM, ["pos"]).select("query_id", "pos", F.col("logit").alias("ref"))
-    test = S.approximate(c.queries, c.index).select("query_id", "pos", (F.col("score") * SCALE).alias("test"))
-    pairs = ref.join(test, ["query_id", "pos"]).select(F.col("query_id").alias("step"), F.col("pos").alias("token"), "ref", "test", F.lit(SINK).alias("target"))
-    return M.rounded(M.compare_logits(pairs))
+    parts = blocks.compared(c.queries, c.retrieval, S.tables(c.queries, c.index), c.index.codes, INDEX, SCALE, DIM, SINK)
+    return M.rounded(M.compare_parts(parts))
 
 
 @query(
