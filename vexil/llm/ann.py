@@ -21,7 +21,7 @@ from vexil.llm.common import stash
 PROJECTIONS, THRESHOLD, START, GROWTH, VERIFIED = 128, 0.9, 1.0, 1.15, 0.12
 #: Vectors and queries a block. A block's norms lie within a factor, up to the last of so many classes of norms.
 BLOCK, QUERY_BLOCK, FACTOR, CLASSES = 8192, 2048, 0.9, 32
-_AT_ONCE = 256
+_AT_ONCE, _CACHED = 256, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -37,39 +37,60 @@ class Index:
         self.ids, self.x, self.bound = ids, vectors, bound
         extra = np.sqrt(np.maximum(bound * bound - np.einsum("ij,ij->i", vectors, vectors), 0.0))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
-        values = np.column_stack([vectors, extra]) @ self.axes
-        self.order = np.ascontiguousarray(values.argsort(0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, values.argsort(0, kind="stable"), 0).T)
+        values = np.ascontiguousarray((np.column_stack([vectors, extra]) @ self.axes).T)
+        order = values.argsort(1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, 1)
+        # of each projection the place of each vector: it lies in a window if its place does; some vectors' places together stay in the processor's cache
+        place = np.empty(order.shape, np.uint16 if len(ids) <= 0xFFFF else np.uint32)
+        np.put_along_axis(place, order, np.arange(len(ids), dtype=place.dtype)[None, :], 1)
+        self.places = [np.ascontiguousarray(place[:, i : i + _CACHED]) for i in range(0, len(ids), _CACHED)]
+
+    def windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places of each query's window on each projection."""
+        first = np.stack([s.searchsorted(at[:, i] - width, "left") for i, s in enumerate(self.sorted)], 1)
+        end = np.stack([s.searchsorted(at[:, i] + width, "right") for i, s in enumerate(self.sorted)], 1)
+        kind = self.places[0].dtype
+        return first.astype(kind)[:, :, None], (end - first).astype(kind)[:, :, None]
 
     def search(self, owns: np.ndarray, queries: np.ndarray, k: int, threshold: float = THRESHOLD, verified: float = VERIFIED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query ids and scores of the best k found, best first, ties to the smaller id; the query's own id is left out.
 
-        Window bounds of all queries still open are looked up at once, a projection at a time; only what a wider window adds is counted.
+        Window bounds of all queries are looked up at once, a projection and a width at a time. A wider window holds all that a narrower one does, so the first width
+        that suffices is looked for from the one that the query before took, up or down; it is the one that widening from the first finds.
         """
-        n, p = len(self.ids), len(self.order)
+        n, p = len(self.ids), len(self.sorted)
         at = (queries * (self.bound / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]) @ self.axes[:-1]
         need, want = int(np.ceil(threshold * p)), min(n, k + 1 + int(np.ceil(verified * n)))
-        counts = np.zeros((len(queries), n), np.int16)
-        lo = np.stack([s.searchsorted(at[:, i]) for i, s in enumerate(self.sorted)], 1)
-        hi = lo.copy()
-        width, open_ = START * self.bound, np.arange(len(queries))
-        while len(open_):
-            a = np.stack([s.searchsorted(at[open_, i] - width, "left") for i, s in enumerate(self.sorted)], 1)
-            b = np.stack([s.searchsorted(at[open_, i] + width, "right") for i, s in enumerate(self.sorted)], 1)
-            left = []
-            for j, q in enumerate(open_.tolist()):
-                bounds = zip(self.order, a[j].tolist(), lo[q].tolist(), hi[q].tolist(), b[j].tolist(), strict=True)
-                parts = [o[x:y] for o, s, e, f, g in bounds for x, y in ((s, e), (f, g)) if x < y]
-                if parts:
-                    counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                if np.count_nonzero(counts[q] >= need) < want:
-                    left.append(j)
-            lo[open_], hi[open_] = np.minimum(a, lo[open_]), np.maximum(b, hi[open_])
-            open_ = open_[left]
-            width *= GROWTH
-        for own, q, c in zip(owns, queries, counts, strict=True):
-            rows = np.flatnonzero((c >= need) & (self.ids != own))
-            score = (self.x[rows] * q).sum(1)
+        widths, bounds = [START * self.bound], []
+        counts = np.empty(n, np.uint8 if p <= 0xFF else np.uint16)
+        away = [np.empty_like(x) for x in (self.places[0], self.places[-1])]
+        inside = [np.empty(x.shape, bool) for x in away]
+
+        def often(j: int, step: int) -> np.ndarray:
+            """Which vectors collide often enough with query j at that step; what lies before a window wraps round to a number beyond it."""
+            while len(bounds) <= step:
+                bounds.append(self.windows(at, widths[-1]))
+                widths.append(widths[-1] * GROWTH)
+            first, size = bounds[step]
+            for i, place in enumerate(self.places):
+                last = i + 1 == len(self.places)
+                np.less(np.subtract(place, first[j], out=away[last]), size[j], out=inside[last])
+                np.add.reduce(inside[last].view(np.uint8), axis=0, dtype=counts.dtype, out=counts[i * _CACHED : (i + 1) * _CACHED])
+            return counts >= need
+
+        step = 0
+        for j, (own, q) in enumerate(zip(owns, queries, strict=True)):
+            found = often(j, step)
+            if np.count_nonzero(found) < want:
+                while np.count_nonzero(found) < want:
+                    step += 1
+                    found = often(j, step)
+            else:
+                while step and np.count_nonzero(less := often(j, step - 1)) >= want:
+                    step, found = step - 1, less
+            rows = np.flatnonzero(found & (self.ids != own))
+            score = self.x.take(rows, 0)
+            score = np.multiply(score, q, out=score).sum(1)
             if len(rows) > 4 * k:
                 some = score >= np.partition(score, len(rows) - k)[len(rows) - k]
                 rows, score = rows[some], score[some]
