@@ -103,6 +103,36 @@ def test_gradient_equals_differences(model):
         assert g[i] == pytest.approx(-(up - down) / 2e-2 / n, rel=0.05, abs=2e-6)
 
 
+def test_targets_of_a_group_are_one_slice(model):
+    model, _ = model
+    known, goal, _ = lm.windows([np.arange(5, 905, 3) % lm.SLOTS, np.array([7]), np.full(40, 3)])
+    asks, _, _, seen = model.attend(known)
+    real, group, place, mine, l1, l2, ends = model.grouped(asks, seen, goal)
+    assert sorted(real) == np.flatnonzero(goal.ravel() >= 0).tolist()
+    assert np.array_equal(group * lm.GROUP + place, goal.ravel()[real]) and (np.diff(group) >= 0).all()
+    assert ends == [int((group < g).sum()) for g in range(lm.GROUPS + 1)]
+    at = asks.ravel()[real]
+    assert np.array_equal(mine, seen.reshape(-1, lm.WIDTH)[real])
+    assert np.allclose(l1, model.base1[at] + mine @ model.weights.w1, atol=1e-4)
+    assert np.allclose(l2, [model.base2[g, a] + m @ model.weights.w2[g] for g, a, m in zip(group, at, mine, strict=True)], rtol=1e-4)
+
+
+def test_a_most_unlikely_target_has_a_finite_score(model):
+    model, _ = model
+    sure = lm.Model(model.slot, model.inside, model.base1.copy(), model.base2, model.weights)
+    sure.base1[:, 3] = -200.0
+    known, goal, _ = lm.windows([np.array([3 * lm.GROUP])])
+    assert -300 < sure.log_probs(known, goal)[0, 0] < -150
+
+
+def test_rows_are_summed_by_slot():
+    rng = np.random.default_rng(2)
+    rows, grad = rng.integers(0, 40, (6, 48)), rng.standard_normal((6, 48, 3 * lm.WIDTH)).astype(np.float32)
+    want = np.zeros((lm.SLOTS + 2, 3 * lm.WIDTH))
+    np.add.at(want, rows.ravel(), grad.reshape(-1, 3 * lm.WIDTH))
+    assert np.allclose(lm._summed(rows, grad), want, atol=1e-5)
+
+
 def test_training_lowers_the_loss(model):
     m, ids = model
     own = lm.Model(m.slot, m.inside, m.base1, m.base2)

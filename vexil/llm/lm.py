@@ -95,15 +95,13 @@ class Weights:
 
     @staticmethod
     def shaped(flat: np.ndarray) -> Weights:
-        out, at = [], 0
-        for shape in _SHAPES:
-            size = int(np.prod(shape))
-            out.append(flat[at : at + size].reshape(shape).astype(np.float32, copy=False))
-            at += size
-        return Weights(*out)
+        return Weights(*(flat[a:b].reshape(shape).astype(np.float32, copy=False) for a, b, shape in zip([0, *_ENDS], _ENDS, _SHAPES, strict=False)))
 
 
 _SHAPES = [x.shape for x in vars(Weights.start()).values()]
+_ENDS = np.cumsum([np.prod(x) for x in _SHAPES]).tolist()
+#: Sums along rows of GROUP or WIDTH numbers are products with ones: numpy's own sums of short rows cost more.
+_ONES = np.ones(max(GROUP, GROUPS, WIDTH), np.float32)
 
 
 def _summed(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
@@ -113,7 +111,9 @@ def _summed(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
     sorted_ = rows[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     out = np.zeros((SLOTS + 2, grad.shape[-1]), np.float32)
-    out[sorted_[first]] = np.add.reduceat(grad.reshape(len(rows), -1).take(order, 0), first, axis=0)
+    # two columns at a time, as the parts of a complex number: reduceat costs a call a run and column
+    pairs = np.ascontiguousarray(grad, np.float32).reshape(len(rows), -1).view(np.complex64)
+    out.view(np.complex64)[sorted_[first]] = np.add.reduceat(pairs.take(order, 0), first, axis=0)
     return out
 
 
@@ -165,26 +165,32 @@ class Model:
         total = np.maximum(seen[..., WIDTH:], np.float32(1e-30))
         return asks, score, total, seen[..., :WIDTH] / total
 
+    def grouped(self, asks: np.ndarray, seen: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of all targets that are there, in order of their groups: their index, group, place in it, output of attention, logits of groups and of places, and the bounds
+        of each group's targets, which are one slice: so there is one table look-up for all, and a product a group."""
+        real = np.flatnonzero(goal.ravel() >= 0)
+        group, place = np.divmod(goal.ravel().take(real), GROUP)
+        order = group.astype(np.uint8).argsort(kind="stable")
+        real, group, place = real.take(order), group.take(order), place.take(order)
+        asks, seen = asks.ravel().take(real), seen.reshape(-1, WIDTH).take(real, 0)
+        ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        l1 = self.base1.take(asks, 0)
+        l1 += seen @ self.weights.w1
+        l2 = self.base2.reshape(-1, GROUP).take(group * np.int32(SLOTS + 2) + asks, 0)
+        for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if a < b:
+                l2[a:b] += seen[a:b] @ self.weights.w2[g]
+        return real, group, place, seen, l1, l2, ends
+
     def log_probs(self, known: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Natural log probability of each target's slot; 0 where there is none."""
         asks, _, _, seen = self.attend(known)
         out = np.zeros(goal.size, np.float64)
-        real = np.flatnonzero(goal.ravel() >= 0)
-        asks, seen, goal = asks.ravel()[real], seen.reshape(-1, WIDTH)[real], goal.ravel()[real]
-        group, place = np.divmod(goal, GROUP)
-        l1 = self.base1.take(asks, 0)
-        l1 += seen @ self.weights.w1
-        got = l1[np.arange(len(goal)), group]
-        got -= np.log(np.exp(l1, out=l1).sum(1))
-        order = np.argsort(group, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-        for g in range(GROUPS):
-            some = order[ends[g] : ends[g + 1]]
-            if len(some):
-                l2 = self.base2[g].take(asks[some], 0)
-                l2 += seen.take(some, 0) @ self.weights.w2[g]
-                at = l2[np.arange(len(some)), place[some]]
-                got[some] += at - np.log(np.exp(l2, out=l2).sum(1))
+        real, group, place, _, l1, l2, _ = self.grouped(asks, seen, goal)
+        at = np.arange(len(real))
+        got = l1[at, group] + l2[at, place]
+        got -= np.log(np.exp(l1, out=l1) @ _ONES[:GROUPS])
+        got -= np.log(np.exp(l2, out=l2) @ _ONES[:GROUP])
         out[real] = got
         return out.reshape(-1, STRIDE)
 
@@ -195,47 +201,37 @@ class Model:
         # padding stands at the beginning of a document only: what comes behind its end no position sees
         led = np.flatnonzero(known[:, 0] == PAD)
         p[led] *= (known[led] != PAD)[:, None, :]
-        real = np.flatnonzero(goal.ravel() >= 0)
-        asks, seen, y = asks2.ravel().take(real), seen2.reshape(-1, WIDTH).take(real, 0), goal.ravel().take(real)
-        n = np.float32(1 / max(1, len(real)))
-        group, place = np.divmod(y, GROUP)
-        d1 = self.base1.take(asks, 0)
-        d1 += seen @ w.w1
+        real, group, place, seen, d1, d2, ends = self.grouped(asks2, seen2, goal)
+        n, at = np.float32(1 / max(1, len(real))), np.arange(len(real))
         np.exp(d1, out=d1)
-        d1 /= d1.sum(1, keepdims=True)
-        d1[np.arange(len(real)), group] -= 1
-        d1 *= n
+        np.exp(d2, out=d2)
+        d1 *= (n / (d1 @ _ONES[:GROUPS]))[:, None]
+        d1[at, group] -= n
+        d2 *= (n / (d2 @ _ONES[:GROUP]))[:, None]
+        d2[at, place] -= n
         dw1, dseen = seen.T @ d1, d1 @ w.w1.T
         dw2 = np.zeros_like(w.w2)
-        order = group.astype(np.uint8).argsort(kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-        for g in range(GROUPS):
-            some = order[ends[g] : ends[g + 1]]
-            if len(some):
-                own = seen.take(some, 0)
-                d2 = self.base2[g].take(asks.take(some), 0)
-                d2 += own @ w.w2[g]
-                np.exp(d2, out=d2)
-                d2 /= d2.sum(1, keepdims=True)
-                d2[np.arange(len(some)), place.take(some)] -= 1
-                d2 *= n
-                dw2[g] = own.T @ d2
-                dseen[some] += d2 @ w.w2[g].T
+        for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if a < b:
+                np.matmul(seen[a:b].T, d2[a:b], out=dw2[g])
+                dseen[a:b] += d2[a:b] @ w.w2[g].T
         dout = np.zeros((goal.size, WIDTH), np.float32)
         dout[real] = dseen
         # weights are left undivided: their sum divides what comes from above instead
         dout = dout.reshape(*goal.shape, WIDTH) / total
-        dkv = np.empty((*known.shape, 2 * WIDTH), np.float32)
-        np.matmul(p.transpose(0, 2, 1), dout, out=dkv[..., WIDTH:])
+        # queries, keys and values side by side are summed by slot at once; the first CONTEXT positions ask nothing
+        dqkv = np.empty((*known.shape, 3 * WIDTH), np.float32)
+        dqkv[:, :CONTEXT, :WIDTH] = 0
+        np.matmul(p.transpose(0, 2, 1), dout, out=dqkv[..., 2 * WIDTH :])
         # the softmax's own term is the product of what came out with its gradient
         ds = dout @ w.v.take(known, 0).transpose(0, 2, 1)
-        ds -= (seen2 * dout).sum(2, keepdims=True)
+        ds -= ((seen2 * dout) @ _ONES[:WIDTH])[:, :, None]
         ds *= p
         dfar = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), WINDOW)
-        dq = ds @ (w.k * np.float32(WIDTH**-0.5)).take(known, 0)
-        np.matmul(ds.transpose(0, 2, 1), (w.q * np.float32(WIDTH**-0.5)).take(asks2, 0), out=dkv[..., :WIDTH])
-        both = _summed(known, dkv)
-        return Weights(_summed(asks2, dq), both[:, :WIDTH], both[:, WIDTH:], dfar, dw1, dw2).flat().astype(np.float32)
+        np.matmul(ds, (w.k * np.float32(WIDTH**-0.5)).take(known, 0), out=dqkv[:, CONTEXT:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), (w.q * np.float32(WIDTH**-0.5)).take(asks2, 0), out=dqkv[..., WIDTH : 2 * WIDTH])
+        sums = _summed(known, dqkv)
+        return Weights(sums[:, :WIDTH], sums[:, WIDTH : 2 * WIDTH], sums[:, 2 * WIDTH :], dfar, dw1, dw2).flat().astype(np.float32, copy=False)
 
     def fit(self, docs: list[np.ndarray], seed: int, state: Moments | None = None) -> int:
         """Adam over the windows of docs, once, in seeded order, changing the weights; returns the number of targets.
@@ -251,14 +247,21 @@ class Model:
             part = order[i : i + BATCH]
             g = self.gradient(known[part], goal[part])
             state.steps = t = state.steps + 1
-            state.m = 0.1 * g if t == 1 else np.add(0.9 * state.m, 0.1 * g, out=state.m)
-            state.s = 0.01 * g * g if t == 1 else np.add(0.99 * state.s, 0.01 * g * g, out=state.s)
+            if t == 1:
+                state.m, state.s = np.zeros_like(g), np.zeros_like(g)
+            state.m *= np.float32(0.9)
+            state.m += np.float32(0.1) * g
+            state.s *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            state.s += g
             rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * j / len(steps)) / (1 + state.chunks) ** 0.5
             step = np.sqrt(state.s * np.float32(1 / (1 - 0.99**t)))
             step += np.float32(1e-6)
             np.divide(state.m, step, out=step)
             step *= np.float32(rate / (1 - 0.9**t))
-            flat = np.clip(flat - step, -_BOUND, _BOUND)
+            flat -= step
+            np.minimum(np.maximum(flat, -_BOUND, out=flat), _BOUND, out=flat)
             self.weights = Weights.shaped(flat)
         state.chunks += 1
         return int((goal >= 0).sum())
