@@ -103,6 +103,45 @@ def test_gradient_equals_differences(model):
         assert g[i] == pytest.approx(-(up - down) / 2e-2 / n, rel=0.05, abs=2e-6)
 
 
+def test_attention_hands_on_what_its_gradient_needs(model):
+    m, ids = model
+    known, goal, _ = lm.windows([m.slot[x] for x in (ids[3], ids[4][:20])])
+    asks, (q, k, v, p), total, seen = m.attend(known)
+    w, there = m.weights, (known != lm.PAD)[..., None]
+    assert np.allclose(q, w.q[asks] / lm.WIDTH**0.5) and np.array_equal(k, w.k[known])
+    assert np.array_equal(v, np.concatenate([w.v[known] * there, there], 2))
+    back = lm.CONTEXT + np.arange(lm.STRIDE)[:, None] - np.arange(lm.WINDOW)
+    assert np.allclose(p, np.where(back >= 0, np.exp(np.einsum("wid,wjd->wij", q, k) + w.far[np.maximum(back, 0)]), 0), rtol=1e-4)
+    assert np.allclose(total, p @ there, rtol=1e-4) and np.allclose(seen, (p @ v)[..., : lm.WIDTH] / total, atol=1e-4)
+
+
+def test_padding_learns_nothing(model):
+    m, ids = model
+    known, goal, _ = lm.windows([m.slot[ids[4]][:20], m.slot[ids[3]]])
+    assert (known == lm.PAD).any()
+    g = lm.Weights.shaped(m.gradient(known, goal))
+    assert not any(x[lm.PAD].any() for x in (g.q, g.k, g.v))
+    assert all(x[lm.START].any() for x in (g.q, g.k, g.v))
+
+
+def test_steps_are_those_of_adam(model):
+    m, ids = model
+    own, docs = lm.Model(m.slot, m.inside, m.base1, m.base2), [m.slot[x] for x in ids[60:73]] * 4
+    known, goal, _ = lm.windows(docs)
+    order = np.random.default_rng(0).permutation(len(known))
+    steps = range(0, len(order), lm.BATCH)
+    assert len(steps) > 1
+    at, one, two = own.weights.flat().astype(float), 0.0, 0.0
+    for t, i in enumerate(steps, 1):
+        part = order[i : i + lm.BATCH]
+        g = lm.Model(m.slot, m.inside, m.base1, m.base2, lm.Weights.shaped(at.astype(np.float32))).gradient(known[part], goal[part]).astype(float)
+        one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
+        at -= lm.RATE * min(1, t / 20) * (1 - 0.9 * t / len(steps)) * one / (1 - 0.9**t) / (np.sqrt(two / (1 - 0.99**t)) + 1e-6)
+        at = np.clip(at, -lm._BOUND, lm._BOUND)
+    own.fit(docs, 0)
+    assert np.allclose(own.weights.flat(), at, atol=2e-4)
+
+
 def test_targets_of_a_group_are_one_slice(model):
     model, _ = model
     known, goal, _ = lm.windows([np.arange(5, 905, 3) % lm.SLOTS, np.array([7]), np.full(40, 3)])

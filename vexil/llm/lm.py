@@ -30,7 +30,7 @@ ROUNDS, RATE, BATCH = 2, 0.04, 96
 SMOOTH = 20.0
 #: Words above this share of all training words are sent to the tasks (a million at most, by arithmetic); rarer ones are joined.
 FREQUENT = 1e-6
-_AT_ONCE = 512
+_AT_ONCE = 256
 _TOKENS = 200_000
 _HELD = 1 << 20
 
@@ -70,6 +70,8 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 _BACK = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(WINDOW)
 _CAUSAL = (_BACK >= 0).astype(np.float32)
+_FAR = np.maximum(_BACK, 0)
+_SCALE = np.float32(WIDTH**-0.5)
 _BOUND = 4.0
 
 
@@ -119,7 +121,7 @@ def _summed(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Moments:
-    """What Adam carries from one chunk of a task's documents to the next: steps, chunks, and the two moments."""
+    """What Adam carries from one chunk of a task's documents to the next: steps, chunks, and the two moments (10 and 100 times)."""
 
     steps: int = 0
     chunks: int = 0
@@ -150,20 +152,21 @@ class Model:
         return Model(slot, np.log(one / total[slot]).astype(np.float32), np.log(group).astype(np.float32), np.ascontiguousarray(np.log(p / group[:, :, None]).transpose(1, 0, 2), np.float32))
 
     def attend(self, known: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Batched masked attention of the last STRIDE positions of each window over the window.
+        """Batched masked attention of the last STRIDE positions of each window over the window: slots that ask, (queries, keys, values, weights), sums of weights, what came out.
 
         A column of ones beside the values sums the weights; both are zero for PAD, so padding counts in neither. The tables are bounded, so exp can't overflow.
         """
         w = self.weights
         asks = known[:, CONTEXT:]
-        score = (w.q * np.float32(WIDTH**-0.5)).take(asks, 0) @ w.k.take(known, 0).transpose(0, 2, 1)
-        np.exp(score, out=score)
-        score *= np.exp(w.far)[np.maximum(_BACK, 0)] * _CAUSAL
-        values = np.column_stack([w.v, np.ones(SLOTS + 2, np.float32)])
+        values = np.concatenate([w.v, np.ones((SLOTS + 2, 1), np.float32)], 1)
         values[PAD] = 0
-        seen = score @ values.take(known, 0)
+        q, k, v = (w.q * _SCALE).take(asks, 0), w.k.take(known, 0), values.take(known, 0)
+        score = q @ k.transpose(0, 2, 1)
+        np.exp(score, out=score)
+        score *= np.exp(w.far)[_FAR] * _CAUSAL
+        seen = score @ v
         total = np.maximum(seen[..., WIDTH:], np.float32(1e-30))
-        return asks, score, total, seen[..., :WIDTH] / total
+        return asks, (q, k, v, score), total, seen[..., :WIDTH] / total
 
     def grouped(self, asks: np.ndarray, seen: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of all targets that are there, in order of their groups: their index, group, place in it, output of attention, logits of groups and of places, and the bounds
@@ -177,9 +180,10 @@ class Model:
         l1 = self.base1.take(asks, 0)
         l1 += seen @ self.weights.w1
         l2 = self.base2.reshape(-1, GROUP).take(group * np.int32(SLOTS + 2) + asks, 0)
-        for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            if a < b:
-                l2[a:b] += seen[a:b] @ self.weights.w2[g]
+        more = np.empty_like(l2)
+        for w, a, b in zip(self.weights.w2, ends, ends[1:], strict=False):
+            np.dot(seen[a:b], w, out=more[a:b])
+        l2 += more
         return real, group, place, seen, l1, l2, ends
 
     def log_probs(self, known: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -197,10 +201,7 @@ class Model:
     def gradient(self, known: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Of the mean negative log probability, flat."""
         w = self.weights
-        asks2, p, total, seen2 = self.attend(known)
-        # padding stands at the beginning of a document only: what comes behind its end no position sees
-        led = np.flatnonzero(known[:, 0] == PAD)
-        p[led] *= (known[led] != PAD)[:, None, :]
+        asks2, (q, k, v, p), total, seen2 = self.attend(known)
         real, group, place, seen, d1, d2, ends = self.grouped(asks2, seen2, goal)
         n, at = np.float32(1 / max(1, len(real))), np.arange(len(real))
         np.exp(d1, out=d1)
@@ -210,28 +211,35 @@ class Model:
         d2 *= (n / (d2 @ _ONES[:GROUP]))[:, None]
         d2[at, place] -= n
         dw1, dseen = seen.T @ d1, d1 @ w.w1.T
-        dw2 = np.zeros_like(w.w2)
-        for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            if a < b:
-                np.matmul(seen[a:b].T, d2[a:b], out=dw2[g])
-                dseen[a:b] += d2[a:b] @ w.w2[g].T
-        dout = np.zeros((goal.size, WIDTH), np.float32)
-        dout[real] = dseen
+        dw2, more = np.zeros_like(w.w2), np.empty_like(dseen)
+        for g, a, b in zip(range(GROUPS), ends, ends[1:], strict=False):
+            np.dot(seen[a:b].T, d2[a:b], out=dw2[g])
+            np.dot(d2[a:b], w.w2[g].T, out=more[a:b])
+        dseen += more
         # weights are left undivided: their sum divides what comes from above instead
-        dout = dout.reshape(*goal.shape, WIDTH) / total
+        dseen /= total.ravel().take(real)[:, None]
+        # beside it the softmax's own term, which meets the column of ones: the product of what came out with its gradient; a last row of zeros is for what isn't there
+        dout = np.zeros((len(real) + 1, WIDTH + 1), np.float32)
+        dout[:-1, :WIDTH] = dseen
+        dseen *= seen
+        np.negative(dseen @ _ONES[:WIDTH], out=dout[:-1, WIDTH])
+        row = np.full(goal.size, len(real))
+        row[real] = at
+        dout = dout.take(row, 0).reshape(*goal.shape, WIDTH + 1)
         # queries, keys and values side by side are summed by slot at once; the first CONTEXT positions ask nothing
         dqkv = np.empty((*known.shape, 3 * WIDTH), np.float32)
         dqkv[:, :CONTEXT, :WIDTH] = 0
-        np.matmul(p.transpose(0, 2, 1), dout, out=dqkv[..., 2 * WIDTH :])
-        # the softmax's own term is the product of what came out with its gradient
-        ds = dout @ w.v.take(known, 0).transpose(0, 2, 1)
-        ds -= ((seen2 * dout) @ _ONES[:WIDTH])[:, :, None]
+        np.matmul(p.transpose(0, 2, 1), dout[..., :WIDTH], out=dqkv[..., 2 * WIDTH :])
+        ds = dout @ v.transpose(0, 2, 1)
         ds *= p
-        dfar = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), WINDOW)
-        np.matmul(ds, (w.k * np.float32(WIDTH**-0.5)).take(known, 0), out=dqkv[:, CONTEXT:, :WIDTH])
-        np.matmul(ds.transpose(0, 2, 1), (w.q * np.float32(WIDTH**-0.5)).take(asks2, 0), out=dqkv[..., WIDTH : 2 * WIDTH])
+        dfar = np.bincount(_FAR.ravel(), np.ones(len(ds), np.float32) @ ds.reshape(len(ds), -1), WINDOW)
+        np.matmul(ds, k, out=dqkv[:, CONTEXT:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
         sums = _summed(known, dqkv)
-        return Weights(sums[:, :WIDTH], sums[:, WIDTH : 2 * WIDTH], sums[:, 2 * WIDTH :], dfar, dw1, dw2).flat().astype(np.float32, copy=False)
+        sums[:, :WIDTH] *= _SCALE
+        # padding's values are zero whatever its row says
+        sums[PAD, WIDTH:] = 0
+        return Weights(sums[:, :WIDTH], sums[:, WIDTH : 2 * WIDTH], sums[:, 2 * WIDTH :], dfar.astype(np.float32), dw1, dw2).flat()
 
     def fit(self, docs: list[np.ndarray], seed: int, state: Moments | None = None) -> int:
         """Adam over the windows of docs, once, in seeded order, changing the weights; returns the number of targets.
@@ -249,19 +257,20 @@ class Model:
             state.steps = t = state.steps + 1
             if t == 1:
                 state.m, state.s = np.zeros_like(g), np.zeros_like(g)
+            rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * j / len(steps)) / (1 + state.chunks) ** 0.5
+            # the moments are kept 10 and 100 times as large, which their quotient takes back: fewer passes over the weights
             state.m *= np.float32(0.9)
-            state.m += np.float32(0.1) * g
+            state.m += g
             state.s *= np.float32(0.99)
             g *= g
-            g *= np.float32(0.01)
             state.s += g
-            rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * j / len(steps)) / (1 + state.chunks) ** 0.5
-            step = np.sqrt(state.s * np.float32(1 / (1 - 0.99**t)))
-            step += np.float32(1e-6)
+            root = 0.1 / (1 - 0.99**t) ** 0.5
+            step = np.sqrt(state.s, out=g)
+            step += np.float32(1e-6 / root)
             np.divide(state.m, step, out=step)
-            step *= np.float32(rate / (1 - 0.9**t))
+            step *= np.float32(0.1 * rate / (1 - 0.9**t) / root)
             flat -= step
-            np.minimum(np.maximum(flat, -_BOUND, out=flat), _BOUND, out=flat)
+            np.clip(flat, -_BOUND, _BOUND, out=flat)
             self.weights = Weights.shaped(flat)
         state.chunks += 1
         return int((goal >= 0).sum())
